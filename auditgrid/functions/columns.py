@@ -192,7 +192,7 @@ def wide_folded(text: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """Runs of blanks to one, at most one empty line, no blanks at line ends or text ends."""
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t ]+", " "), r"\n{3,}", "\n\n")
+    text = F.regexp_replace(F.regexp_replace(text, "[ \\t\u00a0]+", " "), r"\n{3,}", "\n\n")
     return F.regexp_replace(F.regexp_replace(text, r" +(?=\n)", ""), r"^\s+|\s+$", "")
 
 

@@ -109,7 +109,7 @@ def roc_auc(df: DataFrame, truth: Column, score: str) -> DataFrame:
 def average_precision(df: DataFrame, truth: Column, score: str) -> DataFrame:
     """``average_precision`` in one row: precision at each step weighted by its share of recall."""
     s = steps(df, truth, score)
-    area = F.sum(F.col("p") / F.col("attacks") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    area = F.sum(F.try_divide("p", "attacks") * F.col("tp") / (F.col("tp") + F.col("fp")))
     return s.agg(F.when((F.max("attacks") > 0) & (F.max("benign") > 0), area).alias("average_precision"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 import tempfile
 import zipfile
 from pathlib import Path
@@ -49,3 +50,13 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(str(target))
     context._auditgrid_shipped = True
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that all executors share.
+
+    The cluster names it in ``spark.checkpoint.dir``; where it is unset (tests on
+    one machine) the warehouse folder serves.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
