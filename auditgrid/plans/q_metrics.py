@@ -10,8 +10,6 @@ from ..operators import thresholds as T
 from . import views as V
 from .registry import query
 
-TRUTH = F.lit(True)
-
 
 def _truth():
     return F.col("truth")
@@ -214,7 +212,7 @@ def zero_fp_max(spark, d):
 _R, _P = V.ratio("tp", "attacks"), V.base_rate(V.ratio("tp", "attacks"), V.ratio("fp", "benign"), 100)
 
 
-@query(f"WITH {V.VAL}, {_grid(401)}, f AS (SELECT tau, round({V.ratio(f'2 * {_P} * {_R}', f'{_P} + {_R}')}, 12) AS f1 FROM c WHERE tp >= greatest(30, ceil(attacks / 100.0))) SELECT round(tau, 9) AS tau, round(f1, 9) AS f1 FROM f ORDER BY f.f1 DESC, f.tau LIMIT 1")
+@query(f"WITH {V.VAL}, {_grid(401)}, f AS (SELECT tau, round({V.ratio(f'2 * {_P} * {_R}', f'{_P} + {_R}')}, 12) AS f1 FROM c WHERE tp >= greatest(30, ceil(attacks / 100.0))) SELECT round(max_by(tau, (f1, -tau)), 9) AS tau, round(max(f1), 9) AS f1 FROM f")
 def base_rate_f1_tau(spark, d):
     return T.base_rate_f1(V.judged(spark, d, "validation"), _truth(), "margin").select(F.round("tau", 9).alias("tau"), F.round("f1", 9).alias("f1"))
 
