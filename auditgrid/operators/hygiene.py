@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import cut
 
 
 def leaking_keys(df: DataFrame, keys: Sequence[str], split: str = "split") -> DataFrame:
@@ -85,13 +86,29 @@ def banded_pairs(signatures: DataFrame, key: str) -> DataFrame:
     return apart.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _similar(threshold: float, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            keep, similarity = [], []
+            for i, (a, b) in enumerate(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist())):
+                x, y = ({t[j : j + n] for j in range(max(1, len(t) - n + 1))} for t in (a, b))
+                both = len(x & y)
+                if both >= threshold * (len(x) + len(y) - both):
+                    keep.append(i)
+                    similarity.append(both / (len(x) + len(y) - both))
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(similarity, pa.float64())], names=["a", "b", "similarity"])
+
+    return run
+
+
 def near_duplicates(df: DataFrame, key: str, compact: str, threshold: float = 0.92, extra: Sequence[str] = ()) -> DataFrame:
     """``a, b, similarity``: banded pairs with gram similarity of at least the threshold.
 
     ``extra`` columns must differ between the two (other split, other family).
     Only signatures, sizes and keys are shuffled until the pairs are known.
     """
-    signed = simhash(df, key, compact)
+    signed = cut(simhash(df, key, compact))
     pairs = banded_pairs(signed.select(key, "signature"), key)
     facts = signed.select(key, "grams").join(df.select(key, *extra), key) if extra else signed.select(key, "grams")
     for side in ("a", "b"):
@@ -102,8 +119,8 @@ def near_duplicates(df: DataFrame, key: str, compact: str, threshold: float = 0.
         pairs = pairs.where(F.col(f"{c}_a") != F.col(f"{c}_b"))
     texts = df.select(F.col(key).alias("_k"), compact)
     pairs = pairs.select("a", "b").join(texts.select(F.col("_k").alias("a"), F.col(compact).alias("ta")), "a").join(texts.select(F.col("_k").alias("b"), F.col(compact).alias("tb")), "b")
-    scored = pairs.select("a", "b", C.jaccard(C.grams(F.col("ta")), C.grams(F.col("tb"))).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+    kind = df.schema[key].dataType.simpleString()
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(_similar(threshold, 7), f"a {kind}, b {kind}, similarity double")
 
 
 def violations(df: DataFrame, rules: dict[tuple[str, str], Column], key: str = "id") -> DataFrame:
