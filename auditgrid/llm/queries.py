@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .copy_ledger import ledger_of
 from .look_alike import look_alike_forms, look_alike_pairs
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from .queries_sql import SQL  # noqa: F401
 from .source_mix import document_tokens, mix_curve, mix_plan, mix_report, mixed_documents
 from .split_overlap import overlap_report, split_overlap
 from .stuffed_pages import page_stuffing
@@ -100,4 +101,3 @@ def p8_measures(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_report, p4_found, p4_counts, p5_found, p5_forms, p6_ids, p7_mix, p7_report, p7_curve, p8_found, p8_measures)
 }
-SQL: dict[str, str] = {}
