@@ -42,3 +42,30 @@ _P5 = f"""WITH f AS (SELECT DISTINCT id, text, {_FORM} AS form FROM corpus_v4 WH
 SELECT DISTINCT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.id <> b.id WHERE regexp_matches(a.form, '[\\p{{L}}\\p{{N}}]')"""
 
 SQL = {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p5_found": _P5}
+
+
+def _letters(expression: str) -> str:
+    return _LETTERS.replace("(text,", f"({expression},")
+
+
+_NAME = "[\\p{L}\\p{N}][\\w .\\-]{0,60}"
+_PARTS = "list_filter(string_split(trim(text, ' ' || chr(9) || chr(10) || chr(13)), ';'), lambda p: regexp_matches(p, '\\S'))"
+_LINES = "list_filter(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda p: regexp_matches(p, '\\S'))"
+
+
+def _fields(parts: str, sign: str) -> str:
+    pattern = f"'(?s)^\\s*({_NAME}?)\\s*{sign}\\s*(.*?)\\s*$'"
+    return f"list_transform({parts}, lambda p: {_letters(f'regexp_extract(p, {pattern}, 1)')} || chr(31) || {_letters(f'regexp_extract(p, {pattern}, 2)')})"
+
+
+def _all_match(parts: str, sign: str) -> str:
+    return f"len({parts}) > 1 AND len(list_filter({parts}, lambda p: NOT regexp_full_match(p, '(?s)\\s*{_NAME}\\s*{sign}.*'))) = 0"
+
+
+_JSON = f"list_transform(json_keys(text), lambda k: {_letters('k')} || chr(31) || {_letters('''json_extract_string(text, '$.\"' || k || '\"')''')})"
+_P4 = f"""WITH t AS (SELECT DISTINCT id, text FROM corpus_v7 WHERE text IS NOT NULL AND regexp_matches(text, '[\\p{{L}}\\p{{N}}]')),
+k AS (SELECT id, {_LETTERS} AS words, CASE WHEN regexp_matches(text, '^\\s*\\{{') AND json_valid(text) THEN list_sort({_JSON})
+ WHEN contains(text, '=') AND {_all_match(_PARTS, '=')} THEN list_sort({_fields(_PARTS, '=')}) WHEN {_all_match(_LINES, ':')} THEN list_sort({_fields(_LINES, ':')}) END AS fields FROM t),
+f AS (SELECT id, coalesce(fields::varchar, min(fields::varchar) OVER (PARTITION BY words), words) AS file FROM k), g AS (SELECT id, min(id) OVER (PARTITION BY file) AS keep_id FROM f)
+SELECT DISTINCT keep_id, id AS copy_id FROM g WHERE id <> keep_id"""
+SQL["p4_found"] = _P4
