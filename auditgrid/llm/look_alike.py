@@ -31,7 +31,7 @@ from .arrowkit import CHUNK_POINTS, Windows, batch, mix, ranges
 LOOK_ALIKE = {
     "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "ԀᎠ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻҺ", "I": "ІΙӀ", "J": "ЈᎫͿ",
     "K": "КΚᏦK", "L": "Ꮮ", "M": "МΜᎷϺ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս",
-    "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ΥҮ", "Z": "ΖᏃ",
+    "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ΥУҮ", "Z": "ΖᏃ",
     "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ց", "h": "һհ", "i": "і", "j": "јϳ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛզ",
     "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уү",
 }
