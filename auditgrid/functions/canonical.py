@@ -455,3 +455,16 @@ def encoded(text: Column, name: str) -> Column:
         return batch.map(lambda t: None if t is None else encode(t))
 
     return run(text)
+
+
+def round_trips(text: Column) -> Column:
+    """``array<struct<encoder, tagged>>``: whether the second normalizer reports each encoder's tag."""
+
+    def one(body: str | None) -> list[dict] | None:
+        return None if body is None else [{"encoder": n, "tagged": tag in (normalize_second(encode(body))[1] or ())} for n, (encode, tag) in ENCODERS.items()]
+
+    @F.pandas_udf("array<struct<encoder: string, tagged: boolean>>")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(one)
+
+    return run(text)

@@ -8,6 +8,7 @@ on block numbers, and the best of parts are merged afterwards.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+ROWS = 512
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -30,40 +31,60 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+_NEAR = ("query", "attack", "neighbour", "similarity")
+
+
 def _best(k: int, places: int):
+    """The k best of either label for a block of queries against a part of the bank."""
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in ("query", "attack", "neighbour", "similarity")})
-        sims = np.round(_matrix(left["vector"]) @ _matrix(right["vector"]).T, places)
-        ids, attack = right["neighbour"].to_numpy(), right["attack"].to_numpy(bool)
-        out = []
-        for kind in (True, False):
-            at = np.flatnonzero(attack == kind)
-            if not len(at):
-                continue
-            for row, q in zip(sims[:, at], left["query"]):
-                best = np.lexsort((ids[at], -row))[:k]
-                out.append(pd.DataFrame({"query": q, "attack": kind, "neighbour": ids[at][best], "similarity": row[best]}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query", "attack", "neighbour", "similarity")})
+        out: dict[str, list] = {c: [] for c in _NEAR}
+        if len(left) and len(right):
+            bank, ids, kinds = _matrix(right["bank_vector"]), right["neighbour"].to_numpy(), right["is_attack"].to_numpy(bool)
+            for lo in range(0, len(left), ROWS):
+                some = left.iloc[lo : lo + ROWS]
+                sims = np.round(_matrix(some["query_vector"]) @ bank.T, places)
+                for kind in (True, False):
+                    at = np.flatnonzero(kinds == kind)
+                    for row, query in zip(sims[:, at], some["query"]):
+                        near = at if len(at) <= k else at[row >= np.partition(row, len(at) - k)[len(at) - k]]
+                        value = row if len(at) <= k else row[row >= np.partition(row, len(at) - k)[len(at) - k]]
+                        best = np.lexsort((ids[near], -value))[:k]
+                        out["query"] += [query] * len(best)
+                        out["attack"] += [kind] * len(best)
+                        out["neighbour"] += ids[near][best].tolist()
+                        out["similarity"] += value[best].tolist()
+        return pd.DataFrame(out, columns=list(_NEAR))
 
     return run
 
 
-def bank_neighbours(queries: DataFrame, bank: DataFrame, k: int, parts: int = 4, blocks: int = 4, places: int = 8) -> DataFrame:
+def bank_neighbours(queries: DataFrame, bank: DataFrame, k: int, parts: int | None = None, places: int = 8) -> DataFrame:
     """``query, attack, neighbour, similarity, rank``: the k best of either label.
 
     ``queries`` has ``query, vector``, ``bank`` has ``neighbour, attack, vector``.
-    Among equal similarities the smaller key comes first.
+    Among equal similarities the smaller key comes first. ``parts`` blocks of
+    queries meet as many parts of the bank, by default as many as fill the
+    session's shuffle partitions.
     """
-    cells = F.array(*(F.lit(i) for i in range(parts)))
-    q = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(cells))
-    b = bank.withColumn("part", F.pmod(F.xxhash64("neighbour"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.array(*(F.lit(i) for i in range(blocks)))))
+    parts = parts or max(4, math.isqrt(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    own = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    # new names, as both may come from one table
+    q = queries.select("query", F.col("vector").alias("query_vector"), own("query").alias("block"), every.alias("part"))
+    b = bank.select("neighbour", F.col("attack").alias("is_attack"), F.col("vector").alias("bank_vector"), own("neighbour").alias("part"), every.alias("block"))
     kinds = f"query {queries.schema['query'].dataType.simpleString()}, attack boolean, neighbour {bank.schema['neighbour'].dataType.simpleString()}, similarity double"
     best = q.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInPandas(_best(k, places), kinds)
     rank = F.row_number().over(Window.partitionBy("query", "attack").orderBy(F.col("similarity").desc(), "neighbour"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def usable(vector: Column, dim: int) -> Column:
+    """A vector of the right length whose numbers are finite and not all zero."""
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(vector) == dim) & good & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
 def margins(near: DataFrame, places: int = 8) -> DataFrame:
     """``query, s_pos, s_neg, margin``: mean similarity of the attack neighbours less that of the benign ones."""
     mean = lambda kind: F.avg(F.when(F.col("attack") == kind, F.col("similarity")))

@@ -191,15 +191,22 @@ def count_consistency(spark, d):
     return c.select("split", "rows", (F.col("a") + F.col("b") == F.col("rows")).alias("labels_add_up"), (F.col("s") <= F.col("rows")).alias("scores_fit"), ((F.col("a") >= 30) & (F.col("b") >= 30)).alias("enough"))
 
 
-# vectors
-_KNN = "q AS (SELECT vec_id AS query, embedding::double[] AS v FROM embeddings WHERE vec_id % 5 = 0), b AS (SELECT vec_id AS neighbour, label % 2 = 1 AS attack, embedding::double[] AS v FROM embeddings WHERE vec_id % 5 IN (1, 2, 3)), s AS (SELECT query, neighbour, attack, round(list_cosine_similarity(q.v, b.v), 8) AS similarity FROM q CROSS JOIN b), r AS (SELECT *, row_number() OVER (PARTITION BY query, attack ORDER BY similarity DESC, neighbour) AS rank FROM s)"
+# vectors: those of the bank against those of the test split
+_USABLE = "embedding IS NOT NULL AND len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_KNN = f"""{V.R4}, v AS (SELECT vec_id, split, attack_class <> 'benign' AS attack, embedding::double[] AS v FROM row_vectors JOIN rows4 ON rows4.id = row_id WHERE {_USABLE}), q AS (SELECT vec_id AS query, v FROM v WHERE split = 'test'),
+b AS (SELECT vec_id AS neighbour, attack, v FROM v WHERE split = 'exemplar_bank'), s AS (SELECT query, neighbour, attack, round(list_cosine_similarity(q.v, b.v), 8) AS similarity FROM q CROSS JOIN b), r AS (SELECT *, row_number() OVER (PARTITION BY query, attack ORDER BY similarity DESC, neighbour) AS rank FROM s)"""
+
+
+def _vectors(spark, d):
+    rows = V.rows4(spark, d, "split", "attack_class").withColumnRenamed("id", "row_id")
+    v = V.table(spark, d, "row_vectors").where(N.usable(F.col("embedding"), 128)).select("vec_id", "row_id", F.col("embedding").alias("vector"))
+    return v.join(rows, "row_id").withColumn("attack", F.col("attack_class") != "benign")
 
 
 def _near(spark, d, k):
-    e = V.table(spark, d, "embeddings")
-    q = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-    b = e.where("vec_id % 5 in (1, 2, 3)").select(F.col("vec_id").alias("neighbour"), (F.col("label") % 2 == 1).alias("attack"), F.col("embedding").alias("vector"))
-    return N.bank_neighbours(q, b, k)
+    v = _vectors(spark, d)
+    q = v.where("split = 'test'").select(F.col("vec_id").alias("query"), "vector")
+    return N.bank_neighbours(q, v.where("split = 'exemplar_bank'").select(F.col("vec_id").alias("neighbour"), "attack", "vector"), k)
 
 
 @query(f"WITH {_KNN} SELECT query, round(avg(similarity) FILTER (attack), 6) AS s_pos, round(avg(similarity) FILTER (NOT attack), 6) AS s_neg, round(avg(similarity) FILTER (attack) - avg(similarity) FILTER (NOT attack), 6) AS margin FROM r WHERE rank <= 5 GROUP BY 1")
@@ -207,19 +214,19 @@ def knn_margin(spark, d):
     return N.margins(_near(spark, d, 5), 6)
 
 
-@query(f"WITH {_KNN} SELECT query, list(neighbour ORDER BY rank) FILTER (attack) AS top_positive, list(neighbour ORDER BY rank) FILTER (NOT attack) AS top_negative FROM r WHERE rank <= 3 GROUP BY 1")
+@query(f"WITH {_KNN} SELECT query, coalesce(list(neighbour ORDER BY rank) FILTER (attack), []) AS top_positive, coalesce(list(neighbour ORDER BY rank) FILTER (NOT attack), []) AS top_negative FROM r WHERE rank <= 3 GROUP BY 1")
 def knn_neighbours(spark, d):
     return N.neighbour_ids(_near(spark, d, 3))
 
 
-@query(f"WITH {_KNN}, k AS (SELECT unnest([1, 3, 5, 10]) AS k), m AS (SELECT k, query, avg(similarity) FILTER (attack) - avg(similarity) FILTER (NOT attack) AS margin FROM r JOIN k ON rank <= k GROUP BY 1, 2), l AS (SELECT vec_id AS query, label % 2 = 1 AS truth FROM embeddings) SELECT k, count(*) FILTER (truth AND margin > 0) AS tp, count(*) FILTER (NOT truth AND margin > 0) AS fp, round(avg(margin), 6) AS mean_margin FROM m JOIN l USING (query) GROUP BY 1")
+@query(f"WITH {_KNN}, k AS (SELECT unnest([1, 3, 5, 10]) AS k), m AS (SELECT k, query, avg(similarity) FILTER (attack) - avg(similarity) FILTER (NOT attack) AS margin FROM r JOIN k ON rank <= k GROUP BY 1, 2), l AS (SELECT vec_id AS query, attack AS truth FROM v) SELECT k, count(*) FILTER (truth AND margin > 0) AS tp, count(*) FILTER (NOT truth AND margin > 0) AS fp, round(avg(margin), 6) AS mean_margin FROM m JOIN l USING (query) GROUP BY 1")
 def knn_k_grid(spark, d):
     """One search for the largest k serves all smaller ones."""
     near = _near(spark, d, 10)
     ks = near.select("*", F.explode(F.array(*map(F.lit, (1, 3, 5, 10)))).alias("k")).where("rank <= k")
     mean = lambda kind: F.avg(F.when(F.col("attack") == kind, F.col("similarity")))
     m = ks.groupBy("k", "query").agg((mean(True) - mean(False)).alias("margin"))
-    truth = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("query"), (F.col("label") % 2 == 1).alias("truth"))
+    truth = _vectors(spark, d).select(F.col("vec_id").alias("query"), F.col("attack").alias("truth"))
     up = F.col("margin") > 0
     return m.join(truth, "query").groupBy("k").agg(F.count_if(F.col("truth") & up).alias("tp"), F.count_if(~F.col("truth") & up).alias("fp"), F.round(F.avg("margin"), 6).alias("mean_margin"))
 

@@ -21,12 +21,12 @@ def _flag():
 
 @query(f"WITH {V.TEST} SELECT {V.counted('pred_attack')} FROM test")
 def confusion(spark, d):
-    return V.judged(spark, d, "test").agg(*M.counts(_truth(), _flag()))
+    return V.judged(spark, d, "test", "pred_attack").agg(*M.counts(_truth(), _flag()))
 
 
 @query(f"WITH {V.TEST}, c AS (SELECT {V.counted('pred_attack')} FROM test) SELECT tp, fn, fp, tn, {V.BLOCK} FROM c")
 def metric_block(spark, d):
-    return V.judged(spark, d, "test").agg(*M.counts(_truth(), _flag())).select("*", *M.metric_block())
+    return V.judged(spark, d, "test", "pred_attack").agg(*M.counts(_truth(), _flag())).select("*", *M.metric_block())
 
 
 _LOW, _HIGH = V.base_rate(f"coalesce({V.wilson('tp', '(tp + fn)', '-')}, 0)", f"coalesce({V.wilson('fp', '(fp + tn)', '+')}, 0)", 100), V.base_rate(f"coalesce({V.wilson('tp', '(tp + fn)', '+')}, 0)", f"coalesce({V.wilson('fp', '(fp + tn)', '-')}, 0)", 100)
@@ -45,7 +45,7 @@ def breakdown_sets(spark, d):
 @query(f"WITH {V.BOTH}, tau AS (SELECT max(margin) FILTER (NOT truth) AS tau FROM val), p AS (SELECT *, margin > tau AS pred FROM test, tau), c AS ({V.by_fields('p', V.FIELDS, V.counted('pred'))}) SELECT field, value, tp, fn, fp, tn, {V.BLOCK} FROM c")
 def frozen_evaluation(spark, d):
     """The threshold is chosen on validation and applied once to test."""
-    tau = T.zero_fp_max(V.judged(spark, d, "validation"), _truth(), "margin").withColumn("_one", F.lit(1))
+    tau = T.zero_fp_max(V.judged(spark, d, "validation", "pred_attack"), _truth(), "margin").withColumn("_one", F.lit(1))
     test = V.judged(spark, d, "test").withColumn("_one", F.lit(1)).join(F.broadcast(tau), "_one")
     return M.breakdown(test, V.FIELDS, _truth(), F.col("margin") > F.col("tau"))
 
@@ -99,20 +99,20 @@ def _lanes(df):
 
 @query(f"WITH {V.TEST}, l AS (SELECT {_LANE} AS lane, label FROM test) SELECT lane, count(*) FILTER (label = 'attack') AS attack, count(*) FILTER (label = 'benign') AS benign FROM l GROUP BY 1")
 def lane_counts(spark, d):
-    return _lanes(V.judged(spark, d, "test")).groupBy("lane").pivot("label", ["attack", "benign"]).agg(F.count("margin")).fillna(0, ["attack", "benign"])
+    return _lanes(V.judged(spark, d, "test", "pred_attack")).groupBy("lane").pivot("label", ["attack", "benign"]).agg(F.count("margin")).fillna(0, ["attack", "benign"])
 
 
 @query(f"WITH {V.TEST}, l AS (SELECT {_LANE} AS lane, truth FROM test), t AS (SELECT count(*) FILTER (truth) AS a, count(*) FILTER (NOT truth) AS b, count(*) FILTER (truth AND lane = 'uncertain') AS ua, count(*) FILTER (NOT truth AND lane = 'uncertain') AS ub FROM l) SELECT round({V.base_rate(V.ratio('ua', 'a'), V.ratio('ub', 'b'), 1000)}, 9) AS precision_1000, round({V.base_rate(V.ratio('ua', 'a'), V.ratio('ub', 'b'), 100)}, 9) AS precision_100 FROM t")
 def queue_precision(spark, d):
     held, t = F.col("lane") == "uncertain", _truth()
-    s = _lanes(V.judged(spark, d, "test")).agg(F.count_if(t).alias("a"), F.count_if(~t).alias("b"), F.count_if(t & held).alias("ua"), F.count_if(~t & held).alias("ub"))
+    s = _lanes(V.judged(spark, d, "test", "pred_attack")).agg(F.count_if(t).alias("a"), F.count_if(~t).alias("b"), F.count_if(t & held).alias("ua"), F.count_if(~t & held).alias("ub"))
     rates = M.ratio(F.col("ua"), F.col("a")), M.ratio(F.col("ub"), F.col("b"))
     return s.select(*(F.round(M.base_rate_precision(*rates, n), 9).alias(f"precision_{n}") for n in (1000, 100)))
 
 
 @query(f"WITH {V.TEST}, l AS (SELECT {_LANE} AS lane FROM test WHERE NOT truth), t AS (SELECT count(*) FILTER (lane <> 'pass') AS escaped, count(*) AS total FROM l) SELECT escaped, total, round({V.ratio('escaped', 'total')}, 9) AS rate, {V.wilson('escaped', 'total', '-')} <= 0.3 AND {V.wilson('escaped', 'total', '+')} >= 0.3 AS target_inside FROM t")
 def coverage(spark, d):
-    s = _lanes(V.judged(spark, d, "test")).where(~_truth()).agg(F.count_if(F.col("lane") != "pass").alias("escaped"), F.count("*").alias("total"))
+    s = _lanes(V.judged(spark, d, "test", "pred_attack")).where(~_truth()).agg(F.count_if(F.col("lane") != "pass").alias("escaped"), F.count("*").alias("total"))
     e, n = F.col("escaped"), F.col("total")
     return s.select("*", F.round(M.ratio(e, n), 9).alias("rate"), ((M.wilson(e, n, -1) <= 0.3) & (M.wilson(e, n, 1) >= 0.3)).alias("target_inside"))
 
@@ -120,12 +120,12 @@ def coverage(spark, d):
 @query(f"WITH {V.TEST} SELECT round(avg(pow(greatest(0, least(1, margin * 2 + 0.5)) - truth::int, 2)), 9) AS brier FROM test")
 def brier(spark, d):
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("margin") * 2 + 0.5))
-    return M.brier(V.judged(spark, d, "test"), _truth(), p)
+    return M.brier(V.judged(spark, d, "test", "pred_attack"), _truth(), p)
 
 
 @query(f"WITH {V.TEST}, l AS (SELECT {_LANE} AS lane, truth, coalesce(pred_attack, false) AS p FROM test) SELECT round(avg((NOT p)::int) FILTER (truth AND lane = 'pass') / nullif(avg((NOT p)::int) FILTER (truth), 0), 9) AS miss_overlap, round(avg(p::int) FILTER (NOT truth AND lane <> 'pass') / nullif(avg(p::int) FILTER (NOT truth), 0), 9) AS fp_overlap FROM l")
 def overlap_ratio(spark, d):
-    df, p = _lanes(V.judged(spark, d, "test")), C.true("pred_attack")
+    df, p = _lanes(V.judged(spark, d, "test", "pred_attack")), C.true("pred_attack")
     share = lambda v, c: F.avg(F.when(c, v.cast("int")))
     ratio = lambda a, b: F.round(F.when(b > 0, a / b), 9)
     passed, t = F.col("lane") == "pass", _truth()
@@ -134,7 +134,7 @@ def overlap_ratio(spark, d):
 
 @query(f"WITH {V.TEST}, l AS (SELECT {_LANE} AS lane, truth, margin FROM test) SELECT lane, count(*) AS size, count(*) FILTER (truth) AS attacks, count(*) FILTER (NOT truth) AS benign, round(avg(margin), 8) AS mean_margin FROM l GROUP BY 1")
 def lane_composition(spark, d):
-    return _lanes(V.judged(spark, d, "test")).groupBy("lane").agg(F.count("*").alias("size"), F.count_if(_truth()).alias("attacks"), F.count_if(~_truth()).alias("benign"), F.round(F.avg("margin"), 8).alias("mean_margin"))
+    return _lanes(V.judged(spark, d, "test", "pred_attack")).groupBy("lane").agg(F.count("*").alias("size"), F.count_if(_truth()).alias("attacks"), F.count_if(~_truth()).alias("benign"), F.round(F.avg("margin"), 8).alias("mean_margin"))
 
 
 @query(f"WITH {V.S} SELECT split, label, count(margin) AS n, round(min(margin), 9) AS low, round(quantile_cont(margin, 0.05), 9) AS p05, round(quantile_cont(margin, 0.5), 9) AS median, round(quantile_cont(margin, 0.95), 9) AS p95, round(max(margin), 9) AS high, round(avg(margin), 9) AS mean, round(stddev_pop(margin), 9) AS deviation FROM scored GROUP BY 1, 2")
@@ -147,12 +147,12 @@ _STEPS = "g AS (SELECT margin AS score, count(*) FILTER (truth) AS p, count(*) F
 
 @query(f"WITH {V.TEST}, {_STEPS.format('test')} SELECT round(sum(n * (tp - p + p / 2.0::double)) / (max(attacks) * max(benign)), 9) AS roc_auc FROM s")
 def roc_auc(spark, d):
-    return M.roc_auc(V.judged(spark, d, "test"), _truth(), "margin").select(F.round("roc_auc", 9).alias("roc_auc"))
+    return M.roc_auc(V.judged(spark, d, "test", "pred_attack"), _truth(), "margin").select(F.round("roc_auc", 9).alias("roc_auc"))
 
 
 @query(f"WITH {V.TEST}, {_STEPS.format('test')} SELECT round(sum(p::double / attacks * tp / (tp + fp)), 9) AS average_precision FROM s")
 def average_precision(spark, d):
-    return M.average_precision(V.judged(spark, d, "test"), _truth(), "margin").select(F.round("average_precision", 9).alias("average_precision"))
+    return M.average_precision(V.judged(spark, d, "test", "pred_attack"), _truth(), "margin").select(F.round("average_precision", 9).alias("average_precision"))
 
 
 @query(f"WITH {V.S}, s AS (SELECT unnest(['exemplar_bank', 'validation', 'test']) AS split), l AS (SELECT unnest(['attack', 'benign']) AS label), c AS (SELECT split, label, count(*) AS n FROM scored GROUP BY 1, 2) SELECT split, label, coalesce(n, 0) AS rows FROM s CROSS JOIN l LEFT JOIN c USING (split, label)")
@@ -187,12 +187,12 @@ def recompute_check(spark, d):
 
 @query(f"WITH {V.VAL}, {_STEPS.format('val')}, j AS (SELECT score, round(tp::double / attacks - fp::double / benign, 12) AS gap FROM s) SELECT score AS tau, round(gap, 9) AS gap FROM j ORDER BY j.gap DESC, score DESC LIMIT 1")
 def youden_tau(spark, d):
-    return T.youden(V.judged(spark, d, "validation"), _truth(), "margin").select("tau", F.round("gap", 9).alias("gap"))
+    return T.youden(V.judged(spark, d, "validation", "pred_attack"), _truth(), "margin").select("tau", F.round("gap", 9).alias("gap"))
 
 
 @query(f"WITH {V.VAL}, {_STEPS.format('val')} SELECT min(score) AS tau, round(max(tp::double / attacks), 9) AS recall, round(max(fp::double / benign), 9) AS fpr, max(tp) AS tp, max(fp) AS fp FROM s WHERE fp::double / benign <= 0.01")
 def recall_at_fpr(spark, d):
-    return T.recall_at_fpr(V.judged(spark, d, "validation"), _truth(), "margin", 0.01).select("tau", F.round("recall", 9).alias("recall"), F.round("fpr", 9).alias("fpr"), "tp", "fp")
+    return T.recall_at_fpr(V.judged(spark, d, "validation", "pred_attack"), _truth(), "margin", 0.01).select("tau", F.round("recall", 9).alias("recall"), F.round("fpr", 9).alias("fpr"), "tp", "fp")
 
 
 def _grid(n: int) -> str:
@@ -201,12 +201,12 @@ def _grid(n: int) -> str:
 
 @query(f"WITH {V.VAL}, {_grid(1001)} SELECT round(tau, 9) AS tau, tp FROM c WHERE fp = 0 ORDER BY tp DESC, c.tau LIMIT 1")
 def zero_fp_grid(spark, d):
-    return T.zero_fp_grid(V.judged(spark, d, "validation"), _truth(), "margin").select(F.round("tau", 9).alias("tau"), "tp")
+    return T.zero_fp_grid(V.judged(spark, d, "validation", "pred_attack"), _truth(), "margin").select(F.round("tau", 9).alias("tau"), "tp")
 
 
 @query(f"WITH {V.VAL} SELECT coalesce(max(margin) FILTER (NOT truth), min(margin) - 1e-9::double) AS tau FROM val")
 def zero_fp_max(spark, d):
-    return T.zero_fp_max(V.judged(spark, d, "validation"), _truth(), "margin")
+    return T.zero_fp_max(V.judged(spark, d, "validation", "pred_attack"), _truth(), "margin")
 
 
 _R, _P = V.ratio("tp", "attacks"), V.base_rate(V.ratio("tp", "attacks"), V.ratio("fp", "benign"), 100)
@@ -214,17 +214,17 @@ _R, _P = V.ratio("tp", "attacks"), V.base_rate(V.ratio("tp", "attacks"), V.ratio
 
 @query(f"WITH {V.VAL}, {_grid(401)}, f AS (SELECT tau, round({V.ratio(f'2 * {_P} * {_R}', f'{_P} + {_R}')}, 12) AS f1 FROM c WHERE tp >= greatest(30, ceil(attacks / 100.0))) SELECT round(max_by(tau, (f1, -tau)), 9) AS tau, round(max(f1), 9) AS f1 FROM f")
 def base_rate_f1_tau(spark, d):
-    return T.base_rate_f1(V.judged(spark, d, "validation"), _truth(), "margin").select(F.round("tau", 9).alias("tau"), F.round("f1", 9).alias("f1"))
+    return T.base_rate_f1(V.judged(spark, d, "validation", "pred_attack"), _truth(), "margin").select(F.round("tau", 9).alias("tau"), F.round("f1", 9).alias("f1"))
 
 
 @query(f"WITH {V.VAL}, a AS (SELECT unnest([0.01::double, 0.1::double, 0.2::double]) AS alpha), r AS (SELECT margin, row_number() OVER (ORDER BY margin) AS rn, count(*) OVER () AS n FROM val WHERE NOT truth) SELECT alpha, margin AS tau FROM a JOIN r ON rn = least(n, ceil(round((n + 1) * (1 - alpha), 9)))")
 def conformal_tau(spark, d):
-    return T.order_statistic(V.judged(spark, d, "validation").where(~_truth()), "margin", [0.01, 0.1, 0.2])
+    return T.order_statistic(V.judged(spark, d, "validation", "pred_attack").where(~_truth()), "margin", [0.01, 0.1, 0.2])
 
 
 @query(f"WITH {V.VAL}, r AS (SELECT margin, row_number() OVER (ORDER BY margin DESC) AS rn, count(*) OVER () AS n FROM val WHERE NOT truth) SELECT round(coalesce(max(margin) FILTER (rn = floor(n * 0.05::double) + 1) + 1e-12::double, min(margin) - 1e-9::double), 12) AS tau FROM r")
 def budget_tau(spark, d):
-    return T.budget(V.judged(spark, d, "validation"), _truth(), "margin", 0.05).select(F.round("tau", 12).alias("tau"))
+    return T.budget(V.judged(spark, d, "validation", "pred_attack"), _truth(), "margin", 0.05).select(F.round("tau", 12).alias("tau"))
 
 
 _POINTS = [round(i / 50, 2) for i in range(11)]
@@ -232,4 +232,4 @@ _POINTS = [round(i / 50, 2) for i in range(11)]
 
 @query(f"WITH {V.TEST}, {_STEPS.format('test')}, k AS (SELECT fp::double / benign AS x, max(tp::double / attacks) AS y, min(tp::double / attacks) AS y0 FROM s GROUP BY 1), w AS (SELECT unnest({_POINTS}::double[]) AS fpr), j AS (SELECT fpr, max_by((x, y), x) FILTER (x <= fpr) AS a, min_by((x, y0), x) FILTER (x > fpr) AS b FROM w CROSS JOIN k GROUP BY 1) SELECT fpr, round(CASE WHEN b IS NULL THEN coalesce(a[2], 0) ELSE coalesce(a[2], 0) + (b[2] - coalesce(a[2], 0)) * (fpr - coalesce(a[1], 0)) / (b[1] - coalesce(a[1], 0)) END, 9) AS recall FROM j")
 def roc_points(spark, d):
-    return T.roc_on_grid(V.judged(spark, d, "test"), _truth(), "margin", _POINTS).select("fpr", F.round("recall", 9).alias("recall"))
+    return T.roc_on_grid(V.judged(spark, d, "test", "pred_attack"), _truth(), "margin", _POINTS).select("fpr", F.round("recall", 9).alias("recall"))

@@ -282,7 +282,7 @@ def ensemble_variants(spark, d):
 @query(f"WITH {V.BOTH}, r AS (SELECT margin, row_number() OVER (ORDER BY margin) AS rn, count(*) OVER () AS n FROM val WHERE NOT truth), t AS (SELECT max(margin) FILTER (rn = least(n, ceil(round((n + 1) * 0.8, 9)))) AS low, max(margin) FILTER (rn = least(n, ceil(round((n + 1) * 0.99, 9)))) AS high FROM r) SELECT CASE WHEN margin < low THEN 'pass' WHEN margin > high THEN 'flag' ELSE 'uncertain' END AS bucket, label, count(*) AS rows FROM test, t GROUP BY 1, 2")
 def three_lane_router(spark, d):
     """Lanes from order statistics of benign validation scores."""
-    taus = T.order_statistic(V.judged(spark, d, "validation").where(~F.col("truth")), "margin", [0.01, 0.2])
+    taus = T.order_statistic(V.judged(spark, d, "validation", "pred_attack").where(~F.col("truth")), "margin", [0.01, 0.2])
     one = taus.agg(F.min("tau").alias("low"), F.max("tau").alias("high")).withColumn("_one", F.lit(1))
     test = V.judged(spark, d, "test").withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one")
     bucket = F.when(F.col("margin") < F.col("low"), "pass").when(F.col("margin") > F.col("high"), "flag").otherwise("uncertain")

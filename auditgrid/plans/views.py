@@ -30,14 +30,23 @@ def rows7(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return table(spark, folder, "corpus_v7").select("id", *columns).distinct()
 
 
-def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """Scored records."""
-    return table(spark, folder, "embed_rows").select(*SCORED).distinct()
+def scored(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Scored records as last scored, with the named columns (default: all).
 
+    A record may be scored twice with other values, so these aren't repeats.
+    """
+    names = columns or SCORED[1:]
+    last = table(spark, folder, "embed_rows").groupBy("id").agg(F.max_by(F.struct(*names), "scored_at").alias("r"))
+    return last.select("id", "r.*")
 
-def judged(spark: SparkSession, folder: str, split: str) -> DataFrame:
-    """Scored records of a split that have a margin, with the truth as a boolean."""
-    return scored(spark, folder).where((F.col("split") == split) & F.col("margin").isNotNull()).withColumn("truth", F.col("label") == "attack")
+
+def judged(spark: SparkSession, folder: str, split: str, *columns: str) -> DataFrame:
+    """Scored records of a split that have a margin, with the truth as a boolean.
+
+    With ``columns`` only these are read, beside id, split, label and margin.
+    """
+    rows = scored(spark, folder, *(("split", "label", "margin", *columns) if columns else ()))
+    return rows.where((F.col("split") == split) & F.col("margin").isNotNull()).withColumn("truth", F.col("label") == "attack")
 
 
 def second(df: DataFrame) -> DataFrame:
@@ -53,7 +62,7 @@ def traces(spark: SparkSession, folder: str) -> DataFrame:
 
 R4 = "rows4 AS (SELECT DISTINCT ON (id) * FROM corpus_v4)"
 R7 = "rows7 AS (SELECT DISTINCT ON (id) * FROM corpus_v7)"
-S = "scored AS (SELECT DISTINCT ON (id) * FROM embed_rows)"
+S = "scored AS (SELECT DISTINCT ON (id) * FROM embed_rows ORDER BY id, scored_at DESC)"
 VAL = S + ", val AS (SELECT *, label = 'attack' AS truth FROM scored WHERE split = 'validation' AND margin IS NOT NULL)"
 TEST = S + ", test AS (SELECT *, label = 'attack' AS truth FROM scored WHERE split = 'test' AND margin IS NOT NULL)"
 BOTH = VAL + ", test AS (SELECT *, label = 'attack' AS truth FROM scored WHERE split = 'test' AND margin IS NOT NULL)"
