@@ -163,6 +163,24 @@ def test_p3_boilerplate_is_not_paired(spark):
     assert found == {(f"v{i:03}", f"e{i:03}") for i in range(5)}
 
 
+def test_p3_finds_evenly_edited_texts(spark):
+    rng = random.Random(11)
+    rows, want = [], set()
+    for i in range(240):
+        whole = letters("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(80, 500))))
+        edited, at = "", 0
+        while at < len(whole):
+            step = rng.randint(35, 45)
+            edited += whole[at : at + step] + ("" if i % 3 == 0 else "0")
+            at += step + (0 if i % 3 == 2 else 1)
+        if len(pieces(whole) & pieces(edited)) >= 0.8 * len(pieces(whole)):
+            want.add((f"v{i}", f"e{i}"))
+        rows += [(f"v{i}", "test", whole), (f"e{i}", "exemplar_bank", edited)]
+    df = spark.createDataFrame(rows, "id string, split string, text string")
+    found = {(r.examined_id, r.other_id) for r in split_overlap.split_overlap(df, F.col("id"), F.col("text"), F.col("split"), other=["exemplar_bank"], examined=["test"]).collect()}
+    assert len(want) > 200 and found == want
+
+
 def test_p4_named_fields():
     same = ['{"b": "X-1", "a": 2}', "a=2; b = x1", "B: X 1\n\nA : 2", ' {\n "a" : "2", "b":"x1"}']
     keys = {copy_ledger.canonical_keys(t)[1] for t in same}
