@@ -11,6 +11,12 @@ to KEPT. A pair is reported by the first substring that retrieves it, so it come
 once, and only if its check codes are also near. Vectors of retrieved pairs are then brought together and ranked by
 the cosine in double precision.
 
+Codes retrieve near vectors only: a pair of cosine 0.9 passes both with a chance
+of 0.95 if its sign bits are independent, one of 0.8 with half. So a vector that
+has fewer than k neighbours then, or whose k-th is less similar than FLOOR, is
+compared with all vectors, block by block. That is exact, and its cost is the
+number of such vectors times that of all.
+
 The sample is the only bounded thing: SAMPLE vectors with the smallest hash of
 their key. Every vector is indexed and is a query.
 
@@ -37,6 +43,7 @@ from .arrowkit import batch, cut, mix, partitions, ranges
 
 BITS, RADIUS, KEPT, CHECK_RADIUS, SAMPLE, ROUNDS = 64, 11, 15, 14, 8192, 25
 DECIMALS = 6
+FLOOR, ASKED_BLOCK, BANK_BLOCK = 0.9, 4096, 16384
 
 
 def learn_rotation(sample: np.ndarray, bits: int = 2 * BITS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -223,37 +230,43 @@ def _slices(work: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]
     yield from zip(edges[:-1], edges[1:])
 
 
-_RANKED = pa.schema([("cls", pa.int64()), ("near", pa.list_(pa.int64()))])
+_RANKED = pa.schema([("cls", pa.int64()), ("near", pa.list_(pa.int64())), ("last", pa.float64())])
+
+
+def _matrix(raw: list[bytes], dim: int) -> np.ndarray:
+    x = np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64).astype(np.float64) for b in raw])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _best(s: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k + 1 most similar keys, best first."""
+    if len(s) > 8 * (k + 1):
+        cut_at = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+        near = np.flatnonzero(s >= cut_at)
+    else:
+        near = np.arange(len(s))
+    return near[np.lexsort((key[near], -s[near]))[: k + 1]]
 
 
 def _rank(dim: int, k: int):
     """Rank the vectors that met in one home; for its own classes the best k + 1 keys."""
 
-    def matrix(raw: list[bytes]) -> np.ndarray:
-        x = np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64).astype(np.float64) for b in raw])
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    def one(cls: np.ndarray, own: np.ndarray, raw: list[bytes], keys: list[bytes]) -> tuple[list[int], list[np.ndarray]]:
-        x = matrix(raw)
+    def one(cls: np.ndarray, own: np.ndarray, raw: list[bytes], keys: list[bytes]) -> tuple[list[int], list[list[int]], list[float]]:
+        x = _matrix(raw, dim)
         size = np.array([len(b) // 8 for b in keys])
         key = np.frombuffer(b"".join(keys), np.int64)
         holder = np.repeat(np.arange(len(cls)), size)
-        out_cls, out = [], []
+        out = ([], [], [])
         queries = np.flatnonzero(own)
         for lo in range(0, len(queries), 512):
             q = queries[lo : lo + 512]
             sims = np.round(x[q] @ x.T, DECIMALS)
             for row, c in zip(sims, q):
                 s = row[holder]
-                if len(s) > 8 * (k + 1):
-                    cut_at = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-                    near = np.flatnonzero(s >= cut_at)
-                else:
-                    near = np.arange(len(s))
-                best = near[np.lexsort((key[near], -s[near]))[: k + 1]]
-                out_cls.append(int(cls[c]))
-                out.append(key[best])
-        return out_cls, out
+                best = _best(s, key, k)
+                for column, value in zip(out, (int(cls[c]), key[best].tolist(), float(s[best[-1]]) if len(best) > k else -2.0)):
+                    column.append(value)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, held = None, []
@@ -264,20 +277,18 @@ def _rank(dim: int, k: int):
             return one(cls, own, [h[2] for h in held], [h[3] for h in held])
 
         for rows in batches:
-            out_cls, out = [], []
+            out = ([], [], [])
             for h, c, o, v, ids in zip(*(rows.column(i).to_pylist() for i in range(5))):
                 if h != home:
                     if held:
-                        a, b = flush()
-                        out_cls += a
-                        out += b
+                        for column, values in zip(out, flush()):
+                            column += values
                     home, held = h, []
                 held.append((c, o, v, ids))
-            if out_cls:
-                yield batch(_RANKED, out_cls, [x.tolist() for x in out])
+            if out[0]:
+                yield batch(_RANKED, *out)
         if held:
-            a, b = flush()
-            yield batch(_RANKED, a, [x.tolist() for x in b])
+            yield batch(_RANKED, *flush())
 
     return run
 
@@ -308,6 +319,45 @@ def _gather(k: int):
     return run
 
 
+_SCANNED = pa.schema([("cls", pa.int64()), ("key", pa.int64()), ("sim", pa.float64())])
+
+
+def _scan(dim: int, k: int):
+    """The best k + 1 keys of one block of the table for each class of one block of the asked ones."""
+
+    def run(asked: pa.Table, bank: pa.Table) -> pa.Table:
+        out = []
+        if asked.num_rows and bank.num_rows:
+            cls, x = asked.column("cls").to_numpy(), _matrix(asked.column("vector").to_pylist(), dim)
+            y, keys = _matrix(bank.column("vector").to_pylist(), dim), bank.column("keys").to_pylist()
+            key = np.frombuffer(b"".join(keys), np.int64)
+            holder = np.repeat(np.arange(len(keys)), [len(b) // 8 for b in keys])
+            for lo in range(0, len(cls), 256):
+                for row, c in zip(np.round(x[lo : lo + 256] @ y.T, DECIMALS) + 0.0, cls[lo : lo + 256]):
+                    s = row[holder]
+                    best = _best(s, key, k)
+                    out.append((np.full(len(best), c), key[best], s[best]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else ([], [], [])
+        return pa.Table.from_batches([batch(_SCANNED, *columns)])
+
+    return run
+
+
+def _completed(ranked: DataFrame, held: DataFrame, n: int, dim: int, k: int, floor: float) -> DataFrame:
+    """``cls, near``: classes whose last neighbour lies below the floor are compared with all."""
+    short = ranked.where(F.col("last") < floor).select("cls")
+    if not (few := short.count()):
+        return ranked.select("cls", "near")
+    groups, blocks = math.ceil(few / ASKED_BLOCK), math.ceil(max(1, n) / BANK_BLOCK)
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    spread = lambda size: F.pmod(F.xxhash64("cls"), F.lit(size)).cast("int")
+    asked = held.join(short, "cls", "left_semi").select(spread(groups).alias("g"), every(blocks).alias("b"), *(F.col(c).alias(c) for c in ("cls", "vector")))
+    bank = held.select(every(groups).alias("g"), spread(blocks).alias("b"), *(F.col(c).alias(c) for c in ("cls", "vector", "keys")))
+    found = asked.groupBy("g", "b").cogroup(bank.groupBy("g", "b")).applyInArrow(_scan(dim, k), "cls long, key long, sim double")
+    best = found.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "key"))), 1, k + 1).alias("best"))
+    return ranked.where(F.col("last") >= floor).select("cls", "near").unionByName(best.select("cls", F.col("best.key").alias("near")))
+
+
 def _sample(vectors: DataFrame, dim: int, size: int) -> np.ndarray:
     rows = vectors.where(F.size("vector") == dim).orderBy(F.xxhash64("key"), "key").limit(size).select("vector").toArrow()
     if not rows.num_rows:
@@ -316,14 +366,15 @@ def _sample(vectors: DataFrame, dim: int, size: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
 
 
-def nearest_vectors(df: DataFrame, key: Column, vector: Column, *, k: int = 5, dim: int = 128, bits: int = BITS, radius: int = RADIUS, kept: int = KEPT, check_radius: int = CHECK_RADIUS, sample: int = SAMPLE, count: int | None = None) -> DataFrame:
+def nearest_vectors(df: DataFrame, key: Column, vector: Column, *, k: int = 5, dim: int = 128, bits: int = BITS, radius: int = RADIUS, kept: int = KEPT, check_radius: int = CHECK_RADIUS, sample: int = SAMPLE, count: int | None = None, floor: float = FLOOR) -> DataFrame:
     """``vec_id, near``: for each usable vector the k most similar others, best first.
 
     Similarity is the cosine rounded to DECIMALS; among equals the smaller key
     comes first. Null, wrongly long, non-finite and all-zero vectors take no
     part, and no row has them. Keys are unique longs. Fewer than k are given
-    where fewer lie within the Hamming radius or in the table. ``sample`` bounds
-    the vectors that the rotation is learned on, and nothing else.
+    only where the table has fewer others. ``sample`` bounds the vectors that the
+    rotation is learned on, and nothing else. Vectors whose k-th neighbour has a
+    similarity below ``floor`` are compared with all.
     """
     spark = df.sparkSession
     rows = df.select(key.cast("long").alias("key"), vector.alias("vector")).where("key is not null and vector is not null")
@@ -347,7 +398,8 @@ def nearest_vectors(df: DataFrame, key: Column, vector: Column, *, k: int = 5, d
     parts_n = partitions(spark)
     held = rows.mapInArrow(_vectors(dim, True), "vec_id long, cls long, vector binary").repartition(parts_n, "cls").sortWithinPartitions("cls", "vec_id").select("cls", "vec_id", "vector").mapInArrow(_gather(k), "cls long, vector binary, keys binary")
     seated = held.join(seats, "cls", "left").select(F.coalesce("home", "cls").alias("home"), "cls", F.coalesce("own", F.lit(True)).alias("own"), "vector", "keys")
-    ranked = seated.repartition(parts_n, "home").sortWithinPartitions("home").mapInArrow(_rank(dim, k), "cls long, near array<long>")
+    ranked = cut(seated.repartition(parts_n, "home").sortWithinPartitions("home").mapInArrow(_rank(dim, k), "cls long, near array<long>, last double"))
+    ranked = _completed(ranked, held, n, dim, k, floor)
     members = rows.mapInArrow(_vectors(dim, False), "vec_id long, cls long")
     return members.join(ranked, "cls").select("vec_id", F.slice(F.array_remove("near", F.col("vec_id")), 1, k).alias("near"))
 

@@ -119,6 +119,21 @@ def test_p2_edges(spark):
     assert vector_neighbours.nearest_vectors(df.limit(0), F.col("vec_id"), F.col("embedding")).collect() == []
 
 
+def test_p2_completes_isolated_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 128))
+    x[:60] = x[0] + 0.05 * rng.normal(size=(60, 128))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    got = {r.vec_id: r.near for r in vector_neighbours.nearest_vectors(df, F.col("vec_id"), F.col("vector")).collect()}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(y @ y.T, 6)
+    np.fill_diagonal(sims, -2)
+    assert len(got) == 600
+    for i in range(60, 600):
+        assert got[i] == np.lexsort((np.arange(600), -sims[i]))[:5].tolist()
+    assert all(len(got[i]) == 5 for i in range(60))
+
+
 @needs_tables
 def test_p3_equals_brute_force(spark):
     rows = corpus(spark, FOLDER, "split")
