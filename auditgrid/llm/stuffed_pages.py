@@ -2,10 +2,15 @@
 
 For each page a suffix automaton over its words is built (links and tags are
 counted apart). A word position is covered if it lies in a maximal substring of
-at least two words that the page says REPEATS times or more. The page is cut
-into segments at line ends and sentence ends, and a segment has clause structure
-if it has a word that only sentences need (articles, pronouns, auxiliaries,
-conjunctions of six languages). Stuffed are, in segments without clause
+at least two words that the page says REPEATS times or more, or is a word other
+than those that sentences need which the page says OFTEN times or more, in
+whatever order. The page is cut into segments at line ends and sentence ends,
+and a segment has clause structure if it has a word that only sentences need
+(articles, pronouns, auxiliaries, conjunctions of six languages). Sentences don't
+repeat themselves: a run of RUN words or more that is covered by what the segment
+itself repeats is a segment of its own, without clause structure if less than
+CLAUSE of its words are such. Nor has a segment clause structure that is mostly
+links and tags, REPEATS or more. Stuffed are, in segments without clause
 structure: links with their labels, tags, and segments of which at least half is
 covered. Signs such as ``[a-b]``, ``{a_b}``, ``tag:a`` and ``a-b;`` may be tags or
 not; they count as tags if a suffix automaton over their letters shows that the
@@ -17,6 +22,7 @@ The decision on a page needs that page only; there is no shuffle.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +32,10 @@ from pyspark.sql import Column, DataFrame
 from .arrowkit import batch
 
 REPEATS, HALF = 4, 0.5
+#: Times that a single word is said to be a keyword, and words of a run that is a segment of its own.
+OFTEN, RUN = 8, 12
+#: Share of such words that makes a clause of a run.
+CLAUSE = 0.3
 #: Letters of a repeated stem of tags, and the share of their letters that stems must cover.
 STEM, STEM_SHARE = 6, 0.3
 
@@ -110,6 +120,19 @@ def repeated_cover(words: list[str], times: int, shortest: int = 2) -> list[bool
     return covered
 
 
+def _covered(words: list[str], clause: frozenset[str], repeats: int) -> tuple[list[bool], list[tuple[int, int]]]:
+    """Covered words, and the long runs of them (one other word may stand between two)."""
+    said = Counter(words)
+    covered = [c or said[w] >= OFTEN and w not in clause for w, c in zip(words, repeated_cover(words, repeats))]
+    runs: list[list[int]] = []
+    for i in (i for i, c in enumerate(covered) if c):
+        if runs and i - runs[-1][1] <= 2:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return covered, [(a, b) for a, b in runs if b - a + 1 >= RUN]
+
+
 def page_measures(text: str | None, repeats: int = REPEATS) -> tuple[int, int, int, int, int]:
     """Drawn characters of a page: all, and stuffed ones as links, tags and keywords; clauses."""
     if text is None or not (total := sum(map(len, text.split()))):
@@ -120,16 +143,31 @@ def page_measures(text: str | None, repeats: int = REPEATS) -> tuple[int, int, i
         if (kind := m.lastgroup) == "word":
             words.append(m.group().casefold())
         spans.append((m.start(), m.end(), kind))
-    covered = iter(repeated_cover(words, repeats))
+    covered = iter(_covered(words, clause, repeats)[0])
     stems = [c for s, e, kind in spans if kind == "maybe" for c in (*filter(str.isalpha, text[s:e].casefold().removeprefix("tag:")), f"\n{s}")]
     stemmed = repeated_cover(stems, repeats, STEM) if len(stems) > STEM else []
     maybe_tags = sum(stemmed) >= STEM_SHARE * max(1, sum(len(c) == 1 for c in stems))
     named = iter(words)
     cuts = [m.end() for m in ends.finditer(text)] + [len(text)]
+    places = [(s, e) for s, e, kind in spans if kind == "word"]
+    listed: set[int] = set()
+    first = 0
+    for stop in cuts[:]:
+        last = first
+        while last < len(places) and places[last][0] < stop:
+            last += 1
+        here = words[first:last]
+        if len(here) >= RUN and not clause.isdisjoint(here):
+            for a, b in _covered(here, clause, repeats)[1]:
+                cuts += [places[first + a][0], places[first + b][1]]
+                if sum(w in clause for w in here[a : b + 1]) < CLAUSE * (b - a + 1):
+                    listed.add(cuts[-1])
+        first = last
+    cuts = sorted(set(cuts))
     links = tags = keys = clauses = 0
     at, k, begin = 0, 0, 0
     for stop in cuts:
-        link_n = tag_n = word_n = cover_n = 0
+        link_n = tag_n = word_n = cover_n = signs = 0
         has_clause = False
         while at < len(spans) and spans[at][0] < stop:
             s, e, kind = spans[at]
@@ -142,12 +180,14 @@ def page_measures(text: str | None, repeats: int = REPEATS) -> tuple[int, int, i
                     has_clause = True
             elif kind == "link":
                 link_n += sum(map(len, text[s:e].split()))
+                signs += 1
             elif kind == "tag" or maybe_tags:
                 tag_n += e - s
+                signs += 1
             at += 1
         drawn = sum(map(len, text[begin:stop].split()))
         begin = stop
-        if has_clause:
+        if has_clause and stop not in listed and not (signs >= repeats and 2 * (link_n + tag_n) >= drawn):
             clauses += drawn
             continue
         rest = drawn - link_n - tag_n

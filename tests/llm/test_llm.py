@@ -336,6 +336,24 @@ def test_p8_pages(spark):
     assert got == set(range(len(spam)))
 
 
+def test_p8_keywords_in_any_order_and_beside_clauses():
+    def stuffed(text):
+        total, links, tags, keys, _ = stuffed_pages.page_measures(text)
+        return links + tags + keys > 0.5 * total
+
+    rng = random.Random(8)
+    for n, times in ((25, 12), (15, 13)):
+        said = WORDS[:n] * times
+        rng.shuffle(said)
+        assert stuffed(" ".join(said))
+    cities = [f"city{i}" for i in range(40)]
+    assert stuffed(" ".join(f"cheap flights to {c}" for c in cities))
+    assert stuffed("The margin of the second run fell because the cache was stale. " + "cheap audit robot deal " * 20)
+    assert stuffed(" and ".join(f"[audit robot {i}](https://x.example/{i})" for i in range(12)))
+    assert not stuffed("The margin of the second run fell because the cache was stale. " * 12)
+    assert not stuffed("The margin of the second run is at https://a.example/some/long/path/of/the/report/which/has/it")
+
+
 @needs_tables
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_queries_run_on_small_tables(spark, name):
