@@ -114,11 +114,23 @@ def conformal_lanes(df: DataFrame, score: str, alpha_pass: float, alpha_flag: fl
     return taus[round(alpha_pass, 9)], taus[round(alpha_flag, 9)]
 
 
-def leave_one_out(df: DataFrame, check: DataFrame, classes: Sequence[str], fit, target: float = 0.01) -> DataFrame:
-    """``held_out, recall, fpr``: for each class a head trained without it, measured on it."""
+def leave_one_out(df: DataFrame, val: DataFrame, check: DataFrame, fit, target: float = 0.01) -> DataFrame:
+    """``held_out, recall, fpr``: for each attack class of ``df`` a head trained without it, measured on it.
+
+    The threshold is the one of the target rate on ``val``, frozen for the check
+    rows; a prediction is a score above it. Where no score keeps the rate it lies
+    just above the highest. A class without check rows has no recall.
+    """
     rows = []
+    classes = sorted(r[0] for r in df.where(F.col("truth") & F.col("attack_class").isNotNull()).select("attack_class").distinct().collect())
     for name in classes:
-        model = fit(df.where(F.col("attack_class") != name))
-        r = recall_at_fpr(with_score(model, check.where((F.col("attack_class") == name) | ~F.col("truth"))), F.col("truth"), "head_score", target).first()
-        rows.append((name, None if r.recall is None else round(r.recall, 6), None if r.fpr is None else round(r.fpr, 6)))
+        model = fit(df.where(~F.col("attack_class").eqNullSafe(name)))
+        scored = with_score(model, val)
+        tau = recall_at_fpr(scored, F.col("truth"), "head_score", target).first().tau
+        if tau is None and (top := scored.agg(F.max("head_score")).first()[0]) is not None:
+            tau = top + 1e-9
+        hit, held = F.col("head_score") > F.lit(tau).cast("double"), F.col("truth") & F.col("attack_class").eqNullSafe(name)
+        share = lambda of: F.round(F.avg(F.when(of, hit.cast("double"))), 6)
+        r = with_score(model, check).agg(share(held).alias("recall"), share(~F.col("truth")).alias("fpr")).first()
+        rows.append((name, r.recall, r.fpr))
     return df.sparkSession.createDataFrame(rows, "held_out string, recall double, fpr double")

@@ -299,8 +299,9 @@ def gate2_arms(spark, d):
 
 @query()
 def leave_one_family_out(spark, d):
-    bank, _, test = _sets(spark, d, "floor")
-    return ML.leave_one_out(bank, test, ["direct_override", "prompt_leakage", "tool_abuse"], ML.linear_head)
+    """Each attack class of the bank held out in turn; thresholds of validation, measured on test."""
+    bank, val, test = _sets(spark, d, "floor")
+    return ML.leave_one_out(bank, val, test, ML.linear_head)
 
 
 # sources and sinks

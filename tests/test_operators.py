@@ -210,3 +210,13 @@ def test_earlier_stage_must_be_complete(spark, tmp_path):
     spark.createDataFrame([(1, 0.5)], "id long, score double").write.parquet(str(tmp_path / "s"))
     with pytest.raises(Exception, match="no earlier row"):
         readers.earlier_stage(spark, str(tmp_path / "s"), ["score"], spark.range(3)).collect()
+
+
+def test_leave_one_out_takes_every_class_and_the_threshold_of_validation(spark):
+    rows = [(float(i % 7) + 3 * (i % 2), i % 2 == 1, "abcd"[i % 8 // 2] if i % 2 else None) for i in range(80)]
+    schema = "f_score double, truth boolean, attack_class string"
+    df = spark.createDataFrame(rows, schema).withColumn("y", F.col("truth").cast("double"))
+    val = spark.createDataFrame([(5.0, False, None), (6.0, True, "a"), (7.0, True, "b")], schema)
+    check = spark.createDataFrame([(5.5, False, None), (6.5, False, None), (6.5, True, "a"), (5.0, True, "b"), (9.0, True, "b")], schema)
+    got = {r.held_out: (r.recall, r.fpr) for r in models.leave_one_out(df, val, check, models.linear_head).collect()}
+    assert got == {"a": (1.0, 0.5), "b": (0.5, 0.5), "c": (None, 0.5), "d": (None, 0.5)}
