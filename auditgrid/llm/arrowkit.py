@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MULT_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -138,3 +139,51 @@ def signed(a: np.ndarray) -> pa.Array:
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of each 64-bit key."""
+    return ((mix(keys.astype(np.uint64)) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each partition that has any."""
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    for b in np.flatnonzero(np.diff(bounds)):
+        yield int(b), order[bounds[b] : bounds[b + 1]]
+
+
+#: What a batch has for a partition: the partition's number and packed arrays.
+MESSAGE = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+PACKED = "bucket int, blob binary"
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    head = np.array([len(arrays)] + [len(a) for a in arrays] + [ord(a.dtype.char) for a in arrays], np.int64)
+    return b"".join([head.tobytes()] + [a.tobytes() for a in arrays])
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    head = np.frombuffer(blob, np.int64, 2 * n, 8)
+    at, out = 8 * (2 * n + 1), []
+    for size, kind in zip(head[:n], head[n:]):
+        out.append(np.frombuffer(blob, np.dtype(chr(kind)), int(size), at))
+        at += out[-1].nbytes
+    return out
+
+
+def message_batch(out: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return batch(MESSAGE, np.array([b for b, _ in out], np.int32), [x for _, x in out])
+
+
+def bucket_ids(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n hash partitions that is put there."""
+    found = spark.range(0, 64 * n + 64, 1, 1).select(F.col("id").cast("int").alias("i")).groupBy(F.pmod(F.hash("i"), F.lit(n)).alias("p")).agg(F.min("i").alias("i")).orderBy("p").collect()
+    return [r.i for r in found]
+
+
+def meet(left: DataFrame, right: DataFrame, function, schema: str = PACKED) -> DataFrame:
+    """Messages of two kinds that have one bucket, through a function of two Arrow tables."""
+    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(function, schema)

@@ -12,20 +12,25 @@ once, and only if its check codes are also near. Vectors of retrieved pairs are
 the cosine in double precision.
 
 Codes retrieve near vectors only: a pair of cosine 0.9 passes both with a chance
-of 0.95 if its sign bits are independent, one of 0.8 with half. So a vector that
-has fewer than k neighbours then, or whose k-th is less similar than FLOOR, is
-compared with all vectors, block by block. That is exact, and its cost is the
-number of such vectors times that of all.
-
-The sample is the only bounded thing: SAMPLE vectors with the smallest hash of
-their key. Every vector is indexed and is a query.
+of 0.95 if its sign bits are independent, one of 0.8 with half. And codes don't
+tell apart the vectors of a dense cluster: a class with more than DENSE partners
+under one value of a substring is not paired with others of that kind. So a
+vector that has fewer than k neighbours then, or whose k-th is less similar than
+FLOOR, or that is dense, is compared with all vectors. That is exact: ASKED such
+vectors at a time go to every task that reads the table, which returns what is
+at least as similar as the k-th neighbour known so far. The cost is the number of
+such vectors times that of all, in time; nothing but the result is shuffled.
+
+The sample is the only bounded thing: about SAMPLE vectors with the smallest hash
+of their key. Every vector is indexed and is a query.
 
 Scale. Equal vectors are one class, of which the k + 1 smallest keys can be
-neighbours; more can't matter. Substring indexes are spread by the leading bits
-of the substring, a code goes to the partitions within the probing distance. For
-the ranking each class takes the smallest class among itself and its retrieved
-neighbours as its home; a vector goes to its home and to the homes of its
-neighbours, so that similar vectors meet while a vector travels a few times.
+neighbours; more can't matter, and a batch sends no more of them. Substring
+indexes are spread by the leading bits of the substring, a code goes to the
+partitions within the probing distance. For the ranking each class takes the
+smallest class among itself and its retrieved neighbours as its home; a vector
+goes to its home and to the homes of its neighbours, so that similar vectors meet
+while a vector travels a few times. Vectors travel in packed messages.
 """
 
 from __future__ import annotations
@@ -36,14 +41,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrowkit import batch, cut, mix, partitions, ranges
+from .arrowkit import PACKED, batch, bucket_ids, by_part, cut, meet, message_batch, mix, pack, part_of, partitions, ranges, unpack
 
 BITS, RADIUS, KEPT, CHECK_RADIUS, SAMPLE, ROUNDS = 64, 11, 15, 14, 8192, 25
 DECIMALS = 6
-FLOOR, ASKED_BLOCK, BANK_BLOCK = 0.9, 4096, 16384
+FLOOR, DENSE, ASKED = 0.9, 2048, 16384
+ALONE = 2
 
 
 def learn_rotation(sample: np.ndarray, bits: int = 2 * BITS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -101,22 +107,42 @@ def _class_keys(x: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_VECTOR = pa.schema([("vec_id", pa.int64()), ("cls", pa.int64()), ("vector", pa.binary())])
+def _classes(x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class keys, a place of each class, how many of its smallest keys follow (k + 1 at most), and these."""
+    cls = _class_keys(x)
+    order = np.lexsort((ids, cls))
+    cls, ids = cls[order], ids[order]
+    begin = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))[: len(cls)]
+    count = np.minimum(np.diff(np.append(begin, len(cls))), k + 1)
+    return cls[begin], order[begin], count, ids[ranges(begin, count)]
+
 
+def _vectors(numbers: list[int], dim: int, k: int):
+    """Vectors into packed messages, one for each partition of their classes."""
 
-def _vectors(dim: int, with_vector: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             at, x = _usable(rows.column(1), dim)
-            cls, ids = _class_keys(x), rows.column(0).to_numpy(zero_copy_only=False)[at].astype(np.int64)
-            if not with_vector:
-                yield batch(_MEMBER, ids, cls)
+            if not len(x):
                 continue
-            raw, width = np.ascontiguousarray(x).tobytes(), 8 * dim
-            single = x.astype(np.float32)
-            if (single == x).all():
-                raw, width = single.tobytes(), 4 * dim
-            yield batch(_VECTOR, ids, cls, [raw[i * width : (i + 1) * width] for i in range(len(x))])
+            cls, place, count, keys = _classes(x, rows.column(0).to_numpy(zero_copy_only=False)[at].astype(np.int64), k)
+            x, start = _small(x[place]), np.cumsum(count) - count
+            yield message_batch([(numbers[b], pack(cls[i], count[i].astype(np.uint8), keys[ranges(start[i], count[i])], x[i].ravel())) for b, i in by_part(part_of(cls.view(np.uint64), len(numbers)), len(numbers))])
+
+    return run
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """In single precision where that loses nothing."""
+    single = x.astype(np.float32)
+    return single if (single == x).all() else x
+
+
+def _members(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            at, x = _usable(rows.column(1), dim)
+            yield batch(_MEMBER, rows.column(0).to_numpy(zero_copy_only=False)[at].astype(np.int64), _class_keys(x))
 
     return run
 
@@ -167,7 +193,7 @@ def _index(dim: int, bits: int, mean: np.ndarray, rotation: np.ndarray, parts: l
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _probe(parts: list[tuple[int, int]], spread: int, radius: int, kept: int, check_radius: int):
+def _probe(parts: list[tuple[int, int]], spread: int, radius: int, kept: int, check_radius: int, dense: int):
     """Every pair of codes within the radius that this substring is the first to retrieve."""
     near = radius // len(parts)
 
@@ -191,23 +217,26 @@ def _probe(parts: list[tuple[int, int]], spread: int, radius: int, kept: int, ch
             mine = np.flatnonzero((value >> np.uint64(width - spread)) == home)
             found: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
+            near_by = lambda i, k: (np.bitwise_count(code[i] ^ code[k]) <= kept) & (np.bitwise_count(check[i] ^ check[k]) <= check_radius)
+            crowded = np.zeros(len(cls), bool)
+            for g in np.flatnonzero(count > dense):
+                span = slice(begin[g], begin[g] + count[g])
+                for i in range(span.start, span.stop):
+                    crowded[i] = np.count_nonzero(near_by(i, span)) > dense
+            if crowded.any():
+                # a pair with itself names a crowded class
+                yield batch(_PAIR, cls[crowded], cls[crowded])
             for mask in itertools.chain.from_iterable(itertools.combinations(range(width), k) for k in range(near + 1)):
                 flip = np.uint64(sum(1 << b for b in mask))
                 other = value[mine] ^ flip
                 at = np.minimum(np.searchsorted(value, other), len(value) - 1)
                 hit = value[at] == other
-                left, right = mine[hit], at[hit]
-                for lo, hi in _slices(count[left] * count[right]):
-                    l, r = left[lo:hi], right[lo:hi]
-                    i = np.repeat(ranges(begin[l], count[l]), np.repeat(count[r], count[l]))
-                    k = ranges(np.repeat(begin[r], count[l]), np.repeat(count[r], count[l]))
-                    ok = cls[i] < cls[k]
+                for i, k in _meetings(begin, count, mine[hit], at[hit]):
+                    ok = (cls[i] < cls[k]) & ~(crowded[i] & crowded[k])
+                    i, k = i[ok], k[ok]
+                    ok = near_by(i, k)
                     i, k = i[ok], k[ok]
                     x = code[i] ^ code[k]
-                    ok = np.bitwise_count(x) <= kept
-                    i, k, x = i[ok], k[ok], x[ok]
-                    ok = np.bitwise_count(check[i] ^ check[k]) <= check_radius
-                    i, k, x = i[ok], k[ok], x[ok]
                     for s, w in parts[:j]:
                         ok = np.bitwise_count((x >> np.uint64(s)) & np.uint64((1 << w) - 1)) > near
                         i, k, x = i[ok], k[ok], x[ok]
@@ -222,19 +251,29 @@ def _probe(parts: list[tuple[int, int]], spread: int, radius: int, kept: int, ch
     return run
 
 
-def _slices(work: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    if not len(work):
-        return
-    group = np.cumsum(work) // most
-    edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(work))
-    yield from zip(edges[:-1], edges[1:])
+def _meetings(begin: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All places of the left values with all of the right ones, about ``most`` at a time."""
+    work = count[left] * count[right]
+    large = work > most
+    for l, r in zip(left[large], right[large]):
+        step = max(1, most // int(count[r]))
+        for lo in range(begin[l], begin[l] + count[l], step):
+            i = np.arange(lo, min(lo + step, begin[l] + count[l]))
+            yield np.repeat(i, count[r]), np.tile(np.arange(begin[r], begin[r] + count[r]), len(i))
+    left, right, work = left[~large], right[~large], work[~large]
+    if len(work):
+        group = np.cumsum(work) // most
+        edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(work))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            l, r = left[lo:hi], right[lo:hi]
+            yield np.repeat(ranges(begin[l], count[l]), np.repeat(count[r], count[l])), ranges(np.repeat(begin[r], count[l]), np.repeat(count[r], count[l]))
 
 
-_RANKED = pa.schema([("cls", pa.int64()), ("near", pa.list_(pa.int64())), ("last", pa.float64())])
+_RANKED = pa.schema([("cls", pa.int64()), ("near", pa.list_(pa.int64())), ("last", pa.float64()), ("vector", pa.binary())])
 
 
-def _matrix(raw: list[bytes], dim: int) -> np.ndarray:
-    x = np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64).astype(np.float64) for b in raw])
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -248,73 +287,97 @@ def _best(s: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((key[near], -s[near]))[: k + 1]]
 
 
-def _rank(dim: int, k: int):
-    """Rank the vectors that met in one home; for its own classes the best k + 1 keys."""
-
-    def one(cls: np.ndarray, own: np.ndarray, raw: list[bytes], keys: list[bytes]) -> tuple[list[int], list[list[int]], list[float]]:
-        x = _matrix(raw, dim)
-        size = np.array([len(b) // 8 for b in keys])
-        key = np.frombuffer(b"".join(keys), np.int64)
-        holder = np.repeat(np.arange(len(cls)), size)
-        out = ([], [], [])
-        queries = np.flatnonzero(own)
-        for lo in range(0, len(queries), 512):
-            q = queries[lo : lo + 512]
-            sims = np.round(x[q] @ x.T, DECIMALS)
-            for row, c in zip(sims, q):
-                s = row[holder]
-                best = _best(s, key, k)
-                for column, value in zip(out, (int(cls[c]), key[best].tolist(), float(s[best[-1]]) if len(best) > k else -2.0)):
-                    column.append(value)
-        return out
+def _seats(numbers: list[int]):
+    """``cls, home, own`` into packed messages, one for each partition of the classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, held = None, []
-
-        def flush():
-            cls = np.array([h[0] for h in held], np.int64)
-            own = np.array([h[1] for h in held])
-            return one(cls, own, [h[2] for h in held], [h[3] for h in held])
-
         for rows in batches:
-            out = ([], [], [])
-            for h, c, o, v, ids in zip(*(rows.column(i).to_pylist() for i in range(5))):
-                if h != home:
-                    if held:
-                        for column, values in zip(out, flush()):
-                            column += values
-                    home, held = h, []
-                held.append((c, o, v, ids))
-            if out[0]:
-                yield batch(_RANKED, *out)
-        if held:
-            yield batch(_RANKED, *flush())
+            cls, home, own = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            yield message_batch([(numbers[b], pack(cls[at], home[at], own[at].astype(np.uint8))) for b, at in by_part(part_of(cls.view(np.uint64), len(numbers)), len(numbers))])
 
     return run
 
 
-_HELD = pa.schema([("cls", pa.int64()), ("vector", pa.binary()), ("keys", pa.binary())])
+class _Held:
+    """Packed vectors of one partition: each class once, with its k + 1 smallest keys."""
+
+    def __init__(self, blobs: list[bytes], dim: int, k: int):
+        parts = [unpack(b) for b in blobs]
+        owner = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+        keys = np.concatenate([p[2] for p in parts])
+        order = np.lexsort((keys, owner))
+        owner, keys = owner[order], keys[order]
+        fresh = np.append(True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1]))
+        owner, keys = owner[fresh], keys[fresh]
+        self.cls, begin = np.unique(owner, return_index=True)
+        self.count = np.minimum(np.diff(np.append(begin, len(owner))), k + 1)
+        self.keys = keys[ranges(begin, self.count)]
+        self.start = np.cumsum(self.count) - self.count
+        _, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+        self.x = np.concatenate([p[3].reshape(-1, dim) for p in parts])[first]
+
+    def packed(self, at: np.ndarray) -> list[np.ndarray]:
+        return [self.cls[at], self.count[at].astype(np.uint8), self.keys[ranges(self.start[at], self.count[at])], self.x[at].ravel()]
 
 
-def _gather(k: int):
-    """Rows sorted by class and key: each class once, with its k + 1 smallest keys."""
+def _seated(numbers: list[int], dim: int, k: int):
+    """Vectors to the partitions of the homes where they have a seat; those without one are alone."""
+
+    def run(vectors: pa.Table, seats: pa.Table) -> pa.Table:
+        out = []
+        if vectors.num_rows:
+            held = _Held(vectors.column("blob").to_pylist(), dim, k)
+            parts = [unpack(b) for b in seats.column("blob").to_pylist()]
+            cls, home, own = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in range(3))
+            # own seats first, so that they stay
+            order = np.lexsort((1 - own.astype(np.int8), home, cls))
+            cls, home, own = cls[order], home[order], own[order]
+            fresh = np.append(True, (cls[1:] != cls[:-1]) | (home[1:] != home[:-1]))[: len(cls)]
+            cls, home, own = cls[fresh], home[fresh], own[fresh]
+            alone = np.setdiff1d(held.cls, cls[own == 1])
+            at = np.searchsorted(held.cls, np.concatenate([cls, alone]))
+            # a home that no class names
+            home = np.concatenate([home, mix(alone.view(np.uint64)).view(np.int64)])
+            own = np.concatenate([own, np.full(len(alone), ALONE)]).astype(np.uint8)
+            for b, i in by_part(part_of(home.view(np.uint64), len(numbers)), len(numbers)):
+                out.append((numbers[b], pack(home[i], own[i], *held.packed(at[i]))))
+        return pa.Table.from_batches([message_batch(out)])
+
+    return run
+
+
+def _rank(dim: int, k: int, floor: float):
+    """Rank the vectors that met in one home; for its own classes the best k + 1 keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, vector, keys = None, None, []
-        for rows in batches:
-            out = ([], [], [])
-            for c, i, v in zip(*(rows.column(x).to_pylist() for x in range(3))):
-                if c != last:
-                    if last is not None:
-                        for col, val in zip(out, (last, vector, np.array(keys, np.int64).tobytes())):
-                            col.append(val)
-                    last, vector, keys = c, v, []
-                if len(keys) <= k and (not keys or keys[-1] != i):
-                    keys.append(i)
-            if out[0]:
-                yield batch(_HELD, *out)
-        if last is not None:
-            yield batch(_HELD, [last], [vector], [np.array(keys, np.int64).tobytes()])
+        parts = [unpack(x) for rows in batches for x in rows.column(1).to_pylist()]
+        if not parts:
+            return
+        home, own, cls, count, keys = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        raw = np.concatenate([p[5].reshape(-1, dim) for p in parts])
+        del parts
+        count = count.astype(np.int64)
+        start = np.cumsum(count) - count
+        order = np.argsort(home, kind="stable")
+        edges = np.append(np.flatnonzero(np.append(True, home[order][1:] != home[order][:-1])), len(order))
+        out: tuple[list, ...] = ([], [], [], [])
+        for a, b in zip(edges[:-1], edges[1:]):
+            at = order[a:b]
+            x, key = _units(raw[at]), keys[ranges(start[at], count[at])]
+            holder = np.repeat(np.arange(len(at)), count[at])
+            queries = np.flatnonzero(own[at])
+            for lo in range(0, len(queries), 512):
+                q = queries[lo : lo + 512]
+                for row, c in zip(np.round(x[q] @ x.T, DECIMALS) + 0.0, q):
+                    s = row[holder]
+                    best = _best(s, key, k)
+                    last = float(s[best[-1]]) if len(best) > k and own[at[c]] != ALONE else -2.0
+                    for column, value in zip(out, (int(cls[at[c]]), key[best].tolist(), last, raw[at[c]].tobytes() if last < floor else None)):
+                        column.append(value)
+            if len(out[0]) > 4096:
+                yield batch(_RANKED, *out)
+                out = ([], [], [], [])
+        yield batch(_RANKED, *out)
 
     return run
 
@@ -322,51 +385,77 @@ def _gather(k: int):
 _SCANNED = pa.schema([("cls", pa.int64()), ("key", pa.int64()), ("sim", pa.float64())])
 
 
-def _scan(dim: int, k: int):
-    """The best k + 1 keys of one block of the table for each class of one block of the asked ones."""
+def _scan(asked, dim: int, k: int):
+    """Of the rows of one task the k + 1 most similar to each asked vector that may count."""
 
-    def run(asked: pa.Table, bank: pa.Table) -> pa.Table:
-        out = []
-        if asked.num_rows and bank.num_rows:
-            cls, x = asked.column("cls").to_numpy(), _matrix(asked.column("vector").to_pylist(), dim)
-            y, keys = _matrix(bank.column("vector").to_pylist(), dim), bank.column("keys").to_pylist()
-            key = np.frombuffer(b"".join(keys), np.int64)
-            holder = np.repeat(np.arange(len(keys)), [len(b) // 8 for b in keys])
-            for lo in range(0, len(cls), 256):
-                for row, c in zip(np.round(x[lo : lo + 256] @ y.T, DECIMALS) + 0.0, cls[lo : lo + 256]):
-                    s = row[holder]
-                    best = _best(s, key, k)
-                    out.append((np.full(len(best), c), key[best], s[best]))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else ([], [], [])
-        return pa.Table.from_batches([batch(_SCANNED, *columns)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, x, last = asked.value
+        x = _units(x)
+        least = last.copy()
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for rows in batches:
+            at, y = _usable(rows.column(1), dim)
+            if not len(y):
+                continue
+            y, ids = _units(y), rows.column(0).to_numpy(zero_copy_only=False)[at].astype(np.int64)
+            found = [held]
+            for lo in range(0, len(cls), 512):
+                sims = x[lo : lo + 512] @ y.T
+                bound = least[lo : lo + 512]
+                open_ = np.flatnonzero(bound < -1)
+                if len(open_) and len(ids) > k:
+                    bound = bound.copy()
+                    bound[open_] = np.round(np.partition(sims[open_], len(ids) - k - 1, axis=1)[:, len(ids) - k - 1], DECIMALS)
+                i, j = np.nonzero(sims >= bound[:, None] - 10.0**-DECIMALS)
+                found.append([i + lo, ids[j], np.round(sims[i, j], DECIMALS) + 0.0])
+            q, key, sim = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((key, -sim, q))
+            q, key, sim = q[order], key[order], sim[order]
+            begin = np.flatnonzero(np.append(True, q[1:] != q[:-1]))[: len(q)]
+            size = np.diff(np.append(begin, len(q)))
+            full = size > k
+            least[q[begin[full]]] = np.maximum(least[q[begin[full]]], sim[begin[full] + k])
+            keep = np.arange(len(q)) - np.repeat(begin, size) <= k
+            held = [q[keep], key[keep], sim[keep]]
+        q, key, sim = held
+        good = sim >= last[q]
+        yield batch(_SCANNED, cls[q[good]], key[good], sim[good])
 
     return run
 
 
-def _completed(ranked: DataFrame, held: DataFrame, n: int, dim: int, k: int, floor: float) -> DataFrame:
-    """``cls, near``: classes whose last neighbour lies below the floor are compared with all."""
-    short = ranked.where(F.col("last") < floor).select("cls")
-    if not (few := short.count()):
+def _completed(ranked: DataFrame, rows: DataFrame, dim: int, k: int) -> DataFrame:
+    """``cls, near``: classes whose last neighbour lies below the floor, of which ``ranked`` has the vectors, are compared with all."""
+    spark = ranked.sparkSession
+    short = ranked.where("vector is not null").select("cls", "last", "vector")
+    passes = math.ceil(short.count() / (0.9 * ASKED))
+    if not passes:
         return ranked.select("cls", "near")
-    groups, blocks = math.ceil(few / ASKED_BLOCK), math.ceil(max(1, n) / BANK_BLOCK)
-    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-    spread = lambda size: F.pmod(F.xxhash64("cls"), F.lit(size)).cast("int")
-    asked = held.join(short, "cls", "left_semi").select(spread(groups).alias("g"), every(blocks).alias("b"), *(F.col(c).alias(c) for c in ("cls", "vector")))
-    bank = held.select(every(groups).alias("g"), spread(blocks).alias("b"), *(F.col(c).alias(c) for c in ("cls", "vector", "keys")))
-    found = asked.groupBy("g", "b").cogroup(bank.groupBy("g", "b")).applyInArrow(_scan(dim, k), "cls long, key long, sim double")
-    best = found.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "key"))), 1, k + 1).alias("best"))
-    return ranked.where(F.col("last") >= floor).select("cls", "near").unionByName(best.select("cls", F.col("best.key").alias("near")))
-
-
-def _sample(vectors: DataFrame, dim: int, size: int) -> np.ndarray:
-    rows = vectors.where(F.size("vector") == dim).orderBy(F.xxhash64("key"), "key").limit(size).select("vector").toArrow()
+    best = None
+    for turn in range(passes):
+        # a pass has at most about ASKED vectors; no more are ever on the driver
+        part = short.where(F.pmod(F.xxhash64("cls"), F.lit(passes)) == turn).toArrow()
+        raw = [np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64) for v in part.column("vector").to_pylist()]
+        asked = spark.sparkContext.broadcast((part.column("cls").to_numpy(), np.stack(raw) if raw else np.zeros((0, dim)), part.column("last").to_numpy()))
+        found = rows.mapInArrow(_scan(asked, dim, k), "cls long, key long, sim double")
+        place = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("sim"), "key"))
+        top = cut(found.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("place", "key"))).alias("best")).select("cls", F.col("best.key").alias("near")))
+        asked.unpersist()
+        best = top if best is None else best.unionByName(top)
+    return ranked.where("vector is null").select("cls", "near").unionByName(best)
+
+
+def _sample(vectors: DataFrame, dim: int, size: int, n: int) -> np.ndarray:
+    # twice as many as wanted pass the hash, so that few rows are sorted
+    of = max(1, n // (2 * size))
+    rows = vectors.where((F.pmod(F.xxhash64("key"), F.lit(of)) == 0) & (F.size("vector") == dim)).orderBy(F.xxhash64("key"), "key").limit(size).select("vector").toArrow()
     if not rows.num_rows:
         return np.zeros((0, dim))
     _, x = _usable(rows.column(0).combine_chunks(), dim)
     return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
 
 
-def nearest_vectors(df: DataFrame, key: Column, vector: Column, *, k: int = 5, dim: int = 128, bits: int = BITS, radius: int = RADIUS, kept: int = KEPT, check_radius: int = CHECK_RADIUS, sample: int = SAMPLE, count: int | None = None, floor: float = FLOOR) -> DataFrame:
+def nearest_vectors(df: DataFrame, key: Column, vector: Column, *, k: int = 5, dim: int = 128, bits: int = BITS, radius: int = RADIUS, kept: int = KEPT, check_radius: int = CHECK_RADIUS, sample: int = SAMPLE, count: int | None = None, floor: float = FLOOR, dense: int = DENSE) -> DataFrame:
     """``vec_id, near``: for each usable vector the k most similar others, best first.
 
     Similarity is the cosine rounded to DECIMALS; among equals the smaller key
@@ -374,34 +463,38 @@ def nearest_vectors(df: DataFrame, key: Column, vector: Column, *, k: int = 5, d
     part, and no row has them. Keys are unique longs. Fewer than k are given
     only where the table has fewer others. ``sample`` bounds the vectors that the
     rotation is learned on, and nothing else. Vectors whose k-th neighbour has a
-    similarity below ``floor`` are compared with all.
+    similarity below ``floor``, and those with more than ``dense`` partners under
+    one value of a substring, are compared with all.
     """
     spark = df.sparkSession
     rows = df.select(key.cast("long").alias("key"), vector.alias("vector")).where("key is not null and vector is not null")
-    train = _sample(rows, dim, sample)
+    n = rows.count() if count is None else count
+    train = _sample(rows, dim, sample, n)
     if len(train) < 2:
         train = np.eye(dim)
     mean, rotation = learn_rotation(train, 2 * bits)
     bits = min(bits, rotation.shape[1])
-    n = rows.count() if count is None else count
     parts = substrings(n, bits, radius)
     near = radius // len(parts)
     # a partition of a substring is home to about two million codes; at least two partitions each
     spread = min(min(w for _, w in parts), max(1, math.ceil(math.log2(max(1, n / 2_000_000)))))
     codes = rows.select("vector").mapInArrow(_index(dim, bits, mean, rotation, parts, spread, near), "part int, blob binary").repartitionById(_layout(parts, spread), "part")
-    pairs = cut(codes.mapInArrow(_probe(parts, spread, radius, kept, check_radius), "a long, b long"))
+    every = cut(codes.mapInArrow(_probe(parts, spread, radius, kept, check_radius, dense), "a long, b long"))
+    pairs, crowded = every.where("a <> b"), every.where("a = b").select(F.col("a").alias("cls")).distinct()
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    homes = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("cls"), F.least("a", "least").alias("home"))
+    homes = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("cls"), F.least("a", "least").alias("home")).join(crowded, "cls", "left_anti")
     visits = both.join(homes.withColumnRenamed("cls", "a"), "a").select(F.col("b").alias("cls"), "home", F.lit(False).alias("own"))
+    # a crowded class has not met all its neighbours: it sits alone, and is compared with all
     stays = homes.select("cls", "home", F.lit(True).alias("own"))
-    seats = visits.unionByName(stays).groupBy("cls", "home").agg(F.max("own").alias("own"))
-    parts_n = partitions(spark)
-    held = rows.mapInArrow(_vectors(dim, True), "vec_id long, cls long, vector binary").repartition(parts_n, "cls").sortWithinPartitions("cls", "vec_id").select("cls", "vec_id", "vector").mapInArrow(_gather(k), "cls long, vector binary, keys binary")
-    seated = held.join(seats, "cls", "left").select(F.coalesce("home", "cls").alias("home"), "cls", F.coalesce("own", F.lit(True)).alias("own"), "vector", "keys")
-    ranked = cut(seated.repartition(parts_n, "home").sortWithinPartitions("home").mapInArrow(_rank(dim, k), "cls long, near array<long>, last double"))
-    ranked = _completed(ranked, held, n, dim, k, floor)
-    members = rows.mapInArrow(_vectors(dim, False), "vec_id long, cls long")
-    return members.join(ranked, "cls").select("vec_id", F.slice(F.array_remove("near", F.col("vec_id")), 1, k).alias("near"))
+    numbers = bucket_ids(spark, partitions(spark))
+    size = len(numbers)
+    held = rows.mapInArrow(_vectors(numbers, dim, k), PACKED).repartition(size, "bucket")
+    seats = visits.unionByName(stays).mapInArrow(_seats(numbers), PACKED).repartition(size, "bucket")
+    seated = meet(held, seats, _seated(numbers, dim, k)).repartition(size, "bucket")
+    ranked = cut(seated.mapInArrow(_rank(dim, k, floor), "cls long, near array<long>, last double, vector binary"))
+    done = _completed(ranked, rows, dim, k)
+    members = rows.mapInArrow(_members(dim), "vec_id long, cls long")
+    return members.join(done, "cls").select("vec_id", F.slice(F.array_remove("near", F.col("vec_id")), 1, k).alias("near"))
 
 
 def neighbour_pairs(near: DataFrame) -> DataFrame:

@@ -134,6 +134,32 @@ def test_p2_completes_isolated_vectors(spark):
     assert all(len(got[i]) == 5 for i in range(60))
 
 
+def nearest(x):
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(y @ y.T, 6)
+    np.fill_diagonal(sims, -2)
+    return [np.lexsort((np.arange(len(x)), -row))[:5].tolist() for row in sims]
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "loose", "dense", "copies"])
+def test_p2_recall_off_the_tables(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 128))
+    if kind == "loose":
+        x = x + np.repeat(rng.normal(size=(250, 128)), 6, 0) * 1.1
+    if kind == "dense":
+        x[:500] = x[0] + 0.02 * rng.normal(size=(500, 128))
+        x[500:600] = x[0] + 0.3 * rng.normal(size=(100, 128))
+    if kind == "copies":
+        x[:500] = x[0]
+    x = x.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x))), "vector": pa.array(x.astype(np.float32).tolist(), pa.list_(pa.float32()))}))
+    got = {r.vec_id: r.near for r in vector_neighbours.nearest_vectors(df, F.col("vec_id"), F.col("vector"), dense=100).collect()}
+    want = nearest(x)
+    assert all(len(got[i]) == 5 for i in range(len(x)))
+    assert sum(len(set(got[i]) & set(w)) for i, w in enumerate(want)) >= 0.99 * 5 * len(x)
+
+
 @needs_tables
 def test_p3_equals_brute_force(spark):
     rows = corpus(spark, FOLDER, "split")
