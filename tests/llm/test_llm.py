@@ -366,19 +366,33 @@ def test_p7_empty(spark):
 
 def test_p8_repeated_cover_equals_brute_force():
     rng = random.Random(1)
-    for _ in range(300):
-        words = [rng.choice("abcd") for _ in range(rng.randint(0, 30))]
-        times, shortest = rng.randint(2, 4), rng.randint(1, 3)
-        want = [False] * len(words)
-        for n in range(shortest, len(words) + 1):
+    pages = ["".join(rng.choice("abc é") for _ in range(rng.randint(0, 120))) for _ in range(200)]
+    points = np.concatenate([np.frombuffer(p.encode("utf-32-le"), np.uint32) for p in pages])
+    of = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+    for width, times in ((1, 2), (3, 3), (5, 2), (30, 2)):
+        want, base = [], 0
+        for p in pages:
             at = defaultdict(list)
-            for i in range(len(words) - n + 1):
-                at[tuple(words[i : i + n])].append(i)
-            for starts in at.values():
-                if len(starts) >= times:
-                    for s in starts:
-                        want[s : s + n] = [True] * n
-        assert stuffed_pages.repeated_cover(words, times, shortest) == want
+            for i in range(len(p) - width + 1):
+                at[p[i : i + width]].append(base + i)
+            want += [i for starts in at.values() if len(starts) >= times for i in starts]
+            base += len(p)
+        assert stuffed_pages.repeated_starts(points, of, width, times).tolist() == sorted(want)
+
+
+def test_p8_one_word_of_sentences_saves_no_page():
+    def stuffed(text):
+        total, links, tags, keys, _ = stuffed_pages.page_measures(text)
+        return links + tags + keys > 0.5 * total
+
+    assert stuffed("cheap running shoes for sale by nike on discount " * 60)
+    assert stuffed("buy the best cheap shoes online\n" * 60)
+    assert stuffed("".join(f"[shop](https://s{i}.example/a) by acme\n" for i in range(60)))
+    assert stuffed("".join(f"https://s{i}.example/a\nthe best deal at this shop\n" for i in range(60)))
+    assert stuffed(" ".join(["便宜鞋子", "买鞋", "折扣鞋", "在线买鞋"][i * 7 % 4] for i in range(200)))
+    rng = random.Random(9)
+    verse = lambda: "The " + " ".join(rng.choice(WORDS) + rng.choice(["s", "ed", "ing"]) for _ in range(6)) + " when they had gone.\n"
+    assert not stuffed("".join(verse() + verse() + "o sing to me the song of the sea\n" for _ in range(12)))
 
 
 def test_p8_pages(spark):
