@@ -79,16 +79,54 @@ def test_p1_word_shingles(spark):
     assert {tuple(r) for r in near_duplicates.near_duplicate_pairs(df, F.col("id"), F.col("text")).collect()} == {(1, 2)}
 
 
-def test_p1_large_node_is_cut_into_blocks(spark):
-    rng = np.random.default_rng(0)
-    cls = np.arange(50, dtype=np.int64)
-    sketch = np.repeat(rng.integers(0, 1 << 62, (1, 3), dtype=np.int64).view(np.uint64), 50, 0)
-    body = b"".join((np.array([50, 50], np.int64).tobytes(), cls.tobytes(), sketch.tobytes(), np.full(50, 9, np.uint32).tobytes(), np.arange(50, dtype=np.uint16).tobytes()))
-    message = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([body])], names=["bucket", "blob"])
-    plain = {tuple(p) for b in near_duplicates._climb(20, 100, 10)(iter([message])) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
-    blocks = list(near_duplicates._climb(20, 10, 10)(iter([message])))
-    cut = {tuple(p) for b in near_duplicates._blocks(20)(iter(blocks)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
-    assert plain == cut and len(plain) == 50 * 49 // 2
+def planted(texts, number=0):
+    schema = [pa.array(texts), pa.array(texts)]
+    rows = pa.RecordBatch.from_arrays(schema, names=["id", "body"])
+    pieces = near_duplicates.Pieces("char", 7, 80)
+    return pa.Table.from_batches(list(near_duplicates._plant(pieces, near_duplicates.TREES, 3, [number], True)(iter([rows]))))
+
+
+def test_p1_large_node_is_cut_into_cells():
+    rng = random.Random(3)
+    base = prose(rng, 60)
+    table = planted([base.replace(w, w + "x") for w in base.split()[:50]])
+    none = pa.Table.from_batches([], schema=table.schema)
+    pairs = lambda batches: {p for b in batches for m in near_duplicates._of_kind(b.column(1).to_pylist(), 0) for p in zip(m[0].tolist(), m[1].tolist())}
+    plain = pairs(near_duplicates._climb([0], 40)(table, none).to_batches())
+    cells = near_duplicates._climb([0], 40, 10)(table, none).to_batches()
+    assert len(plain) == 50 * 49 // 2 and pairs(cells) < plain
+    assert pairs(near_duplicates._cells([0], 40)(iter(cells))) == plain
+
+
+def test_p1_records_need_different_depths():
+    """A record of a crowd keeps long prefixes where the crowd is; a lone one shortens all to the same depth."""
+    rng = random.Random(5)
+    head = "".join(rng.choice("abcdefghij") for _ in range(60))
+    crowd = [head + "".join(rng.choice("klmnopqrst") for _ in range(60)) for _ in range(300)]
+    alone = "".join(rng.choice("0123456789") for _ in range(120))
+    table = planted([*crowd, alone])
+    crowds = pa.Table.from_batches(list(near_duplicates._crowds([0], 20)(iter(table.to_batches()))))
+    needed = near_duplicates.shortened(0.6, 3)
+    assert needed < near_duplicates.TREES
+    depths = list(near_duplicates._depths(needed)(iter(crowds.to_batches())))
+    long_ = {int(c): int(g) for b in depths for m in map(near_duplicates.unpack, b.column(1).to_pylist()) for c, g in zip(*m)}
+    assert near_duplicates.text_key(alone) not in long_ and len({near_duplicates.text_key(t) for t in crowd} & set(long_)) > 100
+
+
+@pytest.mark.parametrize("similarity", [0.61, 0.65])
+def test_p1_recall_at_the_threshold(spark, similarity):
+    rng = random.Random(7)
+    rows, want = [], set()
+    for i in range(500):
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400))
+        # a common part of c letters of texts of n has similarity (c - 6) / (2 (n - 6) - (c - 6))
+        c = round(6 + 394 * 2 * similarity / (1 + similarity)) + 1
+        b = a[:c] + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400 - c))
+        if len(pieces(a) & pieces(b)) >= 0.6 * len(pieces(a) | pieces(b)):
+            want.add((f"a{i}", f"b{i}"))
+        rows += [(f"a{i}", a), (f"b{i}", b)]
+    found = {tuple(r) for r in near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "id string, text string"), F.col("id"), F.col("text"), **CHAR).collect()}
+    assert len(want) > 400 and found <= want and len(found) >= 0.985 * len(want)
 
 
 @needs_tables
