@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
-import os
+import shutil
 import uuid
 import tempfile
 import zipfile
@@ -40,13 +41,12 @@ def ship(spark: SparkSession) -> SparkSession:
     root = Path(__file__).resolve().parent
     files = sorted(root.rglob("*.py"))
     mark = hashlib.sha256(b"".join(str(p).encode() + p.read_bytes() for p in files)).hexdigest()[:16]
-    target = Path(tempfile.gettempdir()) / f"auditgrid-{mark}.zip"
-    if not target.exists():
-        part = target.with_suffix(f".{os.getpid()}")
-        with zipfile.ZipFile(part, "w") as z:
-            for p in files:
-                z.write(p, Path(root.name) / p.relative_to(root))
-        part.replace(target)
+    # a folder of its own, which only this driver reads: the name can't be taken by others
+    target = Path(tempfile.mkdtemp(prefix="auditgrid-")) / f"auditgrid-{mark}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in files:
+            z.write(p, Path(root.name) / p.relative_to(root))
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
     context.addPyFile(str(target))
     context._auditgrid_shipped = True
     return spark
@@ -55,10 +55,15 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; where it is unset (tests on
-    one machine) the warehouse folder serves.
+    The cluster names it in ``spark.checkpoint.dir``. Where it is unset, the
+    warehouse folder serves on one machine; a cluster without one is an error, as
+    its executors share no local folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
