@@ -47,11 +47,12 @@ def assembled(df: DataFrame, tier: str) -> DataFrame:
     return df.withColumns({f"f_{k}": v for k, v in named.items()}).withColumn("y", F.col("truth").cast("double"))
 
 
-def _balanced(df: DataFrame) -> DataFrame:
+def _balanced(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with balanced weights, and how many they are."""
     n, pos = df.agg(F.count("*"), F.sum("y")).first()
     pos = pos or 0.0
     share = F.when(F.col("y") == 1, n / (2 * max(pos, 1.0))).otherwise(n / (2 * max(n - pos, 1.0)))
-    return df.withColumn("weight", share)
+    return df.withColumn("weight", share), n
 
 
 def _pipeline(df: DataFrame, head) -> Pipeline:
@@ -60,8 +61,7 @@ def _pipeline(df: DataFrame, head) -> Pipeline:
 
 
 def linear_head(df: DataFrame, cost: float = 1.0) -> PipelineModel:
-    df = _balanced(df)
-    n = df.count()
+    df, n = _balanced(df)
     return _pipeline(df, LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=1 / (cost * max(n, 1)), standardization=False, maxIter=100)).fit(df)
 
 

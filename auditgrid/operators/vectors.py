@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS = 512
+#: Rows of a block of queries, and of a part of the bank, that one task holds.
+BLOCK, PART = 8192, 65536
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -63,16 +65,17 @@ def bank_neighbours(queries: DataFrame, bank: DataFrame, k: int, parts: int | No
     """``query, attack, neighbour, similarity, rank``: the k best of either label.
 
     ``queries`` has ``query, vector``, ``bank`` has ``neighbour, attack, vector``.
-    Among equal similarities the smaller key comes first. ``parts`` blocks of
-    queries meet as many parts of the bank, by default as many as fill the
-    session's shuffle partitions.
+    Among equal similarities the smaller key comes first. Blocks of queries meet
+    parts of the bank; there are ``parts`` of each, by default as many as keep a
+    block below BLOCK and a part below PART rows, and at least a few for all cores.
     """
-    parts = parts or max(4, math.isqrt(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    own = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    few = max(2, math.isqrt(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    blocks, parts = (parts, parts) if parts else (max(few, -(-queries.count() // BLOCK)), max(few, -(-bank.count() // PART)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     # new names, as both may come from one table
-    q = queries.select("query", F.col("vector").alias("query_vector"), own("query").alias("block"), every.alias("part"))
-    b = bank.select("neighbour", F.col("attack").alias("is_attack"), F.col("vector").alias("bank_vector"), own("neighbour").alias("part"), every.alias("block"))
+    q = queries.select("query", F.col("vector").alias("query_vector"), own("query", blocks).alias("block"), every(parts).alias("part"))
+    b = bank.select("neighbour", F.col("attack").alias("is_attack"), F.col("vector").alias("bank_vector"), own("neighbour", parts).alias("part"), every(blocks).alias("block"))
     kinds = f"query {queries.schema['query'].dataType.simpleString()}, attack boolean, neighbour {bank.schema['neighbour'].dataType.simpleString()}, similarity double"
     best = q.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInPandas(_best(k, places), kinds)
     rank = F.row_number().over(Window.partitionBy("query", "attack").orderBy(F.col("similarity").desc(), "neighbour"))

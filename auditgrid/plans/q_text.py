@@ -20,20 +20,24 @@ def _texts(spark, d, *more):
     return V.rows4(spark, d, "text", *more)
 
 
+def _each(spark, d, *more):
+    return V.each4(spark, d, "text", *more)
+
+
 @query(f"WITH {V.R4} SELECT id, sha256({_ROT}) AS rot13, sha256({_ATB}) AS atbash FROM rows4")
 def letter_ciphers(spark, d):
-    return _texts(spark, d).select("id", C.sha_hex(C.rot13(F.col("text"))).alias("rot13"), C.sha_hex(C.atbash(F.col("text"))).alias("atbash"))
+    return _each(spark, d).select("id", C.sha_hex(C.rot13(F.col("text"))).alias("rot13"), C.sha_hex(C.atbash(F.col("text"))).alias("atbash")).distinct()
 
 
 @query(f"WITH {V.R4} SELECT id, translate(lower(text), '{fixed.BRAILLE_LETTERS}', '{fixed.BRAILLE_CELLS}') AS cells FROM rows4")
 def braille(spark, d):
-    return _texts(spark, d).select("id", C.braille(F.col("text")).alias("cells"))
+    return _each(spark, d).select("id", C.braille(F.col("text")).alias("cells")).distinct()
 
 
 @query(f"WITH {V.R4} SELECT id, upper(hex(encode(text))) AS hex, base64(encode(text)) AS base64 FROM rows4")
 def byte_codecs(spark, d):
     """Hexadecimal and unbroken base64 of the UTF-8 bytes."""
-    return _texts(spark, d).select("id", F.hex("text").alias("hex"), F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", "").alias("base64"))
+    return _each(spark, d).select("id", F.hex("text").alias("hex"), F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", "").alias("base64")).distinct()
 
 
 @query(f"WITH {V.R4} SELECT id, text IS NOT NULL AS same FROM rows4")
@@ -41,12 +45,12 @@ def codec_round_trip(spark, d):
     """Both codecs give the text back."""
     t = F.col("text")
     back = (F.decode(F.unhex(F.hex(t)), "utf-8") == t) & (F.decode(F.unbase64(F.base64(t.cast("binary"))), "utf-8") == t) & (C.rot13(C.rot13(t)) == t)
-    return _texts(spark, d).select("id", C.true(back).alias("same"))
+    return _each(spark, d).select("id", C.true(back).alias("same")).distinct()
 
 
 @query(f"WITH {V.R4} SELECT id, translate(text, '{''.join(fixed.FOLDED_LETTERS)}', '{''.join(fixed.FOLDED_LETTERS.values())}') AS folded FROM rows4")
 def confusable_fold(spark, d):
-    return _texts(spark, d).select("id", C.folded_letters(F.col("text")).alias("folded"))
+    return _each(spark, d).select("id", C.folded_letters(F.col("text")).alias("folded")).distinct()
 
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
@@ -55,12 +59,12 @@ _THIN = ("".join(map(chr, range(0x21, 0x7F))) + " ").replace("'", "''")
 
 @query(f"WITH {V.R4} SELECT id, translate(text, '{_WIDE}', '{_THIN}') AS narrow FROM rows4")
 def width_fold(spark, d):
-    return _texts(spark, d).select("id", C.wide_folded(F.col("text")).alias("narrow"))
+    return _each(spark, d).select("id", C.wide_folded(F.col("text")).alias("narrow")).distinct()
 
 
 @query(f"WITH {V.R4} SELECT id, regexp_replace(text, '[{fixed.ZERO_WIDTH}]', '', 'g') AS shown, regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f\\p{{Cf}}]', '', 'g') AS clean FROM rows4")
 def invisible_strip(spark, d):
-    return _texts(spark, d).select("id", C.zero_width_free(F.col("text")).alias("shown"), C.control_free(F.col("text")).alias("clean"))
+    return _each(spark, d).select("id", C.zero_width_free(F.col("text")).alias("shown"), C.control_free(F.col("text")).alias("clean")).distinct()
 
 
 _TIDY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\u00a0]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' +\\n', chr(10), 'g'), '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g')"
@@ -68,7 +72,7 @@ _TIDY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\
 
 @query(f"WITH {V.R4} SELECT id, {_TIDY} AS tidy, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') AS one_line FROM rows4")
 def whitespace_canon(spark, d):
-    return _texts(spark, d).select("id", C.tidy(F.col("text")).alias("tidy"), C.collapsed(F.col("text")).alias("one_line"))
+    return _each(spark, d).select("id", C.tidy(F.col("text")).alias("tidy"), C.collapsed(F.col("text")).alias("one_line")).distinct()
 
 
 def _marks(low: str) -> str:
@@ -77,7 +81,7 @@ def _marks(low: str) -> str:
 
 @query(f"WITH {V.R4}, l AS (SELECT id, ' ' || lower(text) || ' ' AS padded, lower(text) AS low FROM rows4) SELECT id, ({_marks('padded')})::int AS padded, ({_marks('low')})::int AS plain FROM l")
 def english_score(spark, d):
-    return _texts(spark, d).select("id", C.english_score(F.col("text")).alias("padded"), C.english_score(F.col("text"), False).alias("plain"))
+    return _each(spark, d).select("id", C.english_score(F.col("text")).alias("padded"), C.english_score(F.col("text"), False).alias("plain")).distinct()
 
 
 _PLAIN = f"translate(t, '{''.join(fixed.LEET)}', '{''.join(fixed.LEET.values())}')"
@@ -98,7 +102,7 @@ def slugs(spark, d):
 
 @query(f"WITH {V.R4} SELECT id, coalesce(regexp_matches(text, 'https?://|www\\.'), false) AS url, coalesce(regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}'), false) AS mail FROM rows4")
 def url_email(spark, d):
-    return _texts(spark, d).select("id", C.has_url(F.col("text")).alias("url"), C.has_mail(F.col("text")).alias("mail"))
+    return _each(spark, d).select("id", C.has_url(F.col("text")).alias("url"), C.has_mail(F.col("text")).alias("mail")).distinct()
 
 
 _SECRETS = " UNION ALL ".join(f"SELECT doc_id, line_no, '{k}' AS kind FROM lines WHERE regexp_matches(line, '{p}')" for k, p in fixed.SECRETS.items())
@@ -140,14 +144,14 @@ def turn_statistics(spark, d):
 
 @query()
 def normalize_v1(spark, d):
-    n = _texts(spark, d).select("id", N.normalized_first(F.col("text")).alias("n"))
-    return n.select("id", C.sha_hex(F.col("n.text")).alias("normalized_sha256"), F.col("n.tags").alias("transform_tags"))
+    n = _each(spark, d).select("id", N.normalized_first(F.col("text")).alias("n"))
+    return n.select("id", C.sha_hex(F.col("n.text")).alias("normalized_sha256"), F.col("n.tags").alias("transform_tags")).distinct()
 
 
 @query()
 def normalize_v2(spark, d):
-    n = _texts(spark, d).select("id", N.normalized_second(F.col("text")).alias("n"))
-    return n.select("id", C.sha_hex(F.col("n.text")).alias("normalized_sha256"), F.col("n.tags").alias("transform_tags"))
+    n = _each(spark, d).select("id", N.normalized_second(F.col("text")).alias("n"))
+    return n.select("id", C.sha_hex(F.col("n.text")).alias("normalized_sha256"), F.col("n.tags").alias("transform_tags")).distinct()
 
 
 @query()

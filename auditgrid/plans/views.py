@@ -25,6 +25,15 @@ def rows4(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return table(spark, folder, "corpus_v4").select("id", *columns).distinct()
 
 
+def each4(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Corpus records of round 4 as often as they were delivered, for queries that end in distinct rows.
+
+    What a query makes of a text is narrower than the text, so repeats are dropped
+    after that.
+    """
+    return table(spark, folder, "corpus_v4").select("id", *columns)
+
+
 def rows7(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Corpus records of round 7: id and the named columns."""
     return table(spark, folder, "corpus_v7").select("id", *columns).distinct()
