@@ -128,8 +128,16 @@ def framed(text: Column) -> Column:
     return has_term(text, fixed.FRAMING_TERMS)
 
 
-def term_flags(text: Column) -> dict[str, Column]:
-    """Decision flags of one row, by name."""
+def searched(text: Column, plain: Column) -> Column:
+    """A text and its normalized form, in which terms are looked for."""
+    return F.concat(F.coalesce(text, F.lit("")), F.lit("\n"), F.coalesce(plain, F.lit("")))
+
+
+def term_flags(text: Column, tags: Column | None = None) -> dict[str, Column]:
+    """Decision flags of one row, by name; ``tags`` are the transforms of the text, if known."""
+    escaped = has_term(text, ["terminal controls", "escape-coded"])
+    if tags is not None:
+        escaped = escaped | true(F.array_contains(tags, "AnsiEscape"))
     free = ~framed(text)
     return {
         "risky_intent": risky_intent(text),
@@ -138,10 +146,54 @@ def term_flags(text: Column) -> dict[str, Column]:
         "tool_authority": true(F.col("source_type") == "tool_result") & has_term(text, fixed.AUTHORITY_TERMS) & free,
         "leaking_output": has_term(text, fixed.LEAK_TERMS) & free,
         "package_claim": has_term(text, fixed.PACKAGE_TERMS) & ~has_term(text, ["public package index"]),
-        "terminal_escape": has_term(text, ["terminal controls", "escape-coded"]) & has_term(text, fixed.TERMINAL_TERMS),
+        "terminal_escape": escaped & has_term(text, fixed.TERMINAL_TERMS),
+    }
+
+
+def view_has(views: Column, terms: Iterable[str]) -> Column:
+    """Some term is in one of the readings, as it is or with nothing but its letters; those in brackets only as they are."""
+    terms = [t.lower() for t in terms]
+    plain = sorted({c for t in terms if "[" not in t and "]" not in t and (c := "".join(filter(str.isalnum, t)))})
+    bare = F.transform(views, lambda v: F.regexp_replace(v, r"[^\p{L}\p{N}]", ""))
+    return true(F.exists(views, lambda v: any_of(v.contains(t) for t in terms))) | true(F.exists(bare, lambda v: any_of(v.contains(t) for t in plain)))
+
+
+def view_flags(views: Column, tags: Column) -> dict[str, Column]:
+    """Decision flags of one row by all readings of its text, by name."""
+    has = lambda terms: view_has(views, terms)
+    sink, source = true("contains_sensitive_sink"), F.col("source_type")
+    calm = ~sink & has(fixed.CALM_PHRASES) & ~has(fixed.UNEXCUSED_PHRASES)
+    risky = sink | has(fixed.PLACEHOLDERS) | has(fixed.RISK_TERMS)
+    surface = has(fixed.TERMINAL_SURFACE) | true(F.arrays_overlap(tags, F.array(*map(F.lit, fixed.SURFACE_TAGS))))
+    return {
+        "hard_benign_allow": calm,
+        "risky_intent": risky,
+        "gated_r1": r1_prime(True) & risky & ~calm,
+        "terminal_escape": true(source == "tool_result") & surface & has(fixed.TERMINAL_INTENT) & ~calm,
+        "memory_taint": true(source == "memory") & has(fixed.MEMORY_TERMS) & ~calm,
+        "retrieval_taint": true(source == "rag_chunk") & true("requires_tool_call") & (has(fixed.RETRIEVAL_TERMS) | risky) & ~calm,
     }
 
 
+def metadata_score(plain: Column, tags: Column | None = None) -> Column:
+    """Cues for and against an attack in a normalized text, its metadata and transforms, as one number."""
+    low = F.concat(F.lit(" "), F.lower(plain), F.lit(" "))
+    hits = lambda terms: reduce(lambda a, b: a + b, (low.contains(t).cast("int") for t in terms))
+    part = lambda c, w: F.when(c, w).otherwise(0.0)
+    near = true(F.col("source_type").isin("rag_chunk", "tool_result", "memory"))
+    score = hits(fixed.ATTACK_CUES) * 0.25 - hits(fixed.CALM_CUES) * 0.35 + part(distrusted(), 0.2) + part(true("requires_tool_call"), 0.2) + part(true("contains_sensitive_sink"), 0.25) + part(near, 0.1)
+    if tags is not None:
+        weights = F.create_map(*(F.lit(x) for kv in fixed.TAG_WEIGHTS.items() for x in kv))
+        score = score + F.aggregate(F.coalesce(tags, F.array().cast("array<string>")), F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(weights, t), F.lit(fixed.OTHER_TAG_WEIGHT)))
+    return F.round(score, 8)
+
+
+def class_action(reviewed: Iterable[str], quarantined: Iterable[str], attack_class: str = "attack_class") -> Column:
+    """The action that is expected for a class; null for null."""
+    c = F.col(attack_class)
+    return F.when(c == "benign", "allow").when(c.isin(*reviewed), "require_approval").when(c.isin(*quarantined), "quarantine").when(c.isNotNull(), "block")
+
+
 def placeholders_in(text: Column) -> Column:
     """Sorted placeholders of a text."""
     return F.array_sort(F.array_compact(F.array(*(F.when(F.lower(text).contains(p), F.lit(p)) for p in fixed.PLACEHOLDERS))))
@@ -235,9 +287,12 @@ def sha_hex(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def hash_fifth(key: Column, salt: str) -> Column:
-    """Hash of a salted key modulo five, from its first eight hex digits."""
-    return F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(salt), key), 256), 1, 8), 16, 10).cast("bigint"), F.lit(5)).cast("int")
+def hash_fifth(key: Column, salt: str, digits: int = 16) -> Column:
+    """Hash of a salted key modulo five, from its first hex digits (eight for each step)."""
+    hex_ = F.sha2(F.concat(F.lit(salt), key), 256)
+    # 16 is 1 modulo 5, so parts of a number may be added instead of shifted
+    parts = (F.conv(F.substring(hex_, i, 8), 16, 10).cast("bigint") for i in range(1, digits, 8))
+    return F.pmod(reduce(lambda a, b: a + b, parts), F.lit(5)).cast("int")
 
 
 def hash_split(key: Column, salt: str = "1337:") -> Column:
@@ -245,6 +300,15 @@ def hash_split(key: Column, salt: str = "1337:") -> Column:
     return F.when(part < 3, "exemplar_bank").when(part == 3, "validation").otherwise("test")
 
 
+def family_split(family: Column, salt: str = "1337:") -> Column:
+    """Split of a whole family: the number after its last colon, or else a hash, shifted by a hash of what stands before."""
+    prefix = F.coalesce(F.regexp_extract(family, r"(?s)^(.*):[^:]*$", 1), F.lit(""))
+    tail = F.regexp_extract(family, r"(?s)([^:]*)$", 1)
+    number = F.when(tail.rlike(r"^\s*[+-]?\d{1,36}\s*$"), F.pmod(F.trim(tail).cast("decimal(38,0)"), F.lit(5)).cast("int"))
+    part = F.pmod(F.coalesce(number, hash_fifth(family, salt, 64)) + hash_fifth(prefix, salt, 64), F.lit(5))
+    return F.when(part < 3, "exemplar_bank").when(part == 3, "validation").when(part == 4, "test")
+
+
 def hash_half(key: Column, salt: str = "1337:") -> Column:
     """Zero or one: parity of the last hex digit."""
     return F.pmod(F.conv(F.right(F.sha2(F.concat(F.lit(salt), key), 256), F.lit(1)), 16, 10).cast("int"), F.lit(2))

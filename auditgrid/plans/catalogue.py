@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import q_evidence, q_metrics, q_more, q_rows, q_text  # noqa: F401
+from . import q_evidence, q_extra, q_metrics, q_more, q_rows, q_text  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -12,7 +12,7 @@ from ..operators import hygiene as H
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import vectors as N
-from ..session import shared_folder
+from ..session import cut, shared_folder
 from ..sources import readers, schemas, writers
 from ..streaming import windows as S
 from . import views as V
@@ -231,23 +231,22 @@ def knn_k_grid(spark, d):
     return m.join(truth, "query").groupBy("k").agg(F.count_if(F.col("truth") & up).alias("tp"), F.count_if(~F.col("truth") & up).alias("fp"), F.round(F.avg("margin"), 6).alias("mean_margin"))
 
 
-_CUES, _CALM = fixed.RISK_TERMS, fixed.FRAMING_TERMS
+_CUES = "ignore override bypass reveal hidden system developer policy secret sensitive canary attacker external privileged approval approve execute destructive tool|call tool tenant memory administrator unrestricted install package terminal escape copy exfil".replace("|", "_").split()
+_CUES = [c.replace("_", " ") for c in _CUES]
+_CALM = ["quoted", "fixture", "example", "training note", "policy docs", "requires approval", "not as an instruction", "explains why", "public status", "benign"]
 _HITS = lambda terms: " + ".join(f"contains(low, '{t}')::int" for t in terms)
 
 
 @query(f"WITH {V.R4}, l AS (SELECT *, ' ' || lower(text) || ' ' AS low FROM rows4 WHERE text IS NOT NULL) SELECT id, round(({_HITS(_CUES)}) * 0.25::double - ({_HITS(_CALM)}) * 0.35::double + CASE WHEN trust_level IN ('untrusted', 'tool_output') THEN 0.2::double ELSE 0 END + CASE WHEN requires_tool_call THEN 0.2::double ELSE 0 END + CASE WHEN contains_sensitive_sink THEN 0.25::double ELSE 0 END + CASE WHEN source_type IN ('rag_chunk', 'tool_result', 'memory') THEN 0.1::double ELSE 0 END, 8) AS score FROM l")
 def metadata_score(spark, d):
-    rows = V.rows4(spark, d, "text", "trust_level", "source_type", "requires_tool_call", "contains_sensitive_sink").where("text is not null")
-    low = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
-    hits = lambda terms: sum((low.contains(t).cast("int") for t in terms[1:]), low.contains(terms[0]).cast("int"))
-    part = lambda c, w: F.when(c, w).otherwise(0.0)
-    score = hits(_CUES) * 0.25 - hits(_CALM) * 0.35 + part(C.distrusted(), 0.2) + part(C.true("requires_tool_call"), 0.2) + part(C.true("contains_sensitive_sink"), 0.25) + part(F.col("source_type").isin("rag_chunk", "tool_result", "memory"), 0.1)
-    return rows.select("id", F.round(score, 8).alias("score"))
+    rows = V.each4(spark, d, "text", "trust_level", "source_type", "requires_tool_call", "contains_sensitive_sink").where("text is not null")
+    return rows.select("id", C.metadata_score(F.col("text")).alias("score")).distinct()
 
 
 # trained heads
 def _sets(spark, d, tier):
-    bank, val, test = (ML.assembled(V.judged(spark, d, s), tier) for s in ("exemplar_bank", "validation", "test"))
+    # every fit and every choice reads them again
+    bank, val, test = (cut(ML.assembled(V.judged(spark, d, s), tier)) for s in ("exemplar_bank", "validation", "test"))
     return bank, val, test
 
 
@@ -267,8 +266,10 @@ def lr_coefficients(spark, d):
 
 @query()
 def gbt_head(spark, d):
-    bank, _, test = _sets(spark, d, "ceiling")
-    return ML.with_score(ML.tree_head(bank), test).select("id", "label", "attack_class", "bypass_class", "head_score")
+    """Boosted trees, depth and rate chosen on validation; scores of test."""
+    bank, val, test = _sets(spark, d, "ceiling")
+    _, model = ML.choose(bank, val, [{"depth": depth, "rate": rate} for depth, rate in ML.TREES], ML.tree_head)
+    return ML.with_score(model, test).select("id", "label", "attack_class", "bypass_class", "head_score")
 
 
 @query()

@@ -44,7 +44,7 @@ def stratified_hash_sample(spark, d):
     return A.stratified(V.rows4(spark, d, "attack_class"), ["attack_class"], 30, "salt-7")
 
 
-@query(f"WITH {V.R4}, h AS (SELECT id, ('0x' || substr(sha256('1337:' || id), 1, 8))::bigint % 5 AS p FROM rows4) SELECT id, CASE WHEN p < 3 THEN 'exemplar_bank' WHEN p = 3 THEN 'validation' ELSE 'test' END AS hash_split FROM h")
+@query(f"WITH {V.R4}, h AS (SELECT id, list_sum(list_transform(range(1, 17), lambda i: ('0x' || substr(sha256('1337:' || id), i, 1))::int)) % 5 AS p FROM rows4) SELECT id, CASE WHEN p < 3 THEN 'exemplar_bank' WHEN p = 3 THEN 'validation' ELSE 'test' END AS hash_split FROM h")
 def hash_split(spark, d):
     return A.split_by_hash(V.rows4(spark, d)).select("id", "hash_split")
 
@@ -100,7 +100,7 @@ def _has(terms, text="text"):
     return "coalesce(" + " OR ".join(f"contains(lower({text}), '{t}')" for t in terms) + ", false)"
 
 
-_WORDS = "coalesce(regexp_matches(lower(text), '\\b(" + "|".join(fixed.RISK_TERMS) + ")\\b'), false)"
+_WORDS = "coalesce(regexp_matches(lower(text), '\\b(" + "approve|approval|attacker|bypass|canary|copy|cross tenant|destructive|developer message|disabled|execute|exfil|external|hidden|ignore|install|lookalike|network|obsolete|override|pixel|policy|privileged|reveal|secret|sensitive|system instruction|tool call|unrestricted" + ")\\b'), false)"
 _INTENT = f"({_SINK} OR {_has(fixed.PLACEHOLDERS)} OR {_WORDS})"
 _FREE = f"NOT {_has(fixed.FRAMING_TERMS)}"
 
@@ -110,8 +110,8 @@ _FREE = f"NOT {_has(fixed.FRAMING_TERMS)}"
 coalesce(source_type = 'tool_result', false) AND {_has(fixed.AUTHORITY_TERMS)} AND {_FREE} AS tool_authority, {_has(fixed.LEAK_TERMS)} AND {_FREE} AS leaking_output,
 {_has(fixed.PACKAGE_TERMS)} AND NOT {_has(['public package index'])} AS package_claim, {_has(['terminal controls', 'escape-coded'])} AND {_has(fixed.TERMINAL_TERMS)} AS terminal_escape FROM rows4""")
 def intent_terms(spark, d):
-    rows = V.rows4(spark, d, "text", *_ROW_FLAGS)
-    return rows.select("id", *(c.alias(n) for n, c in C.term_flags(F.col("text")).items()))
+    rows = V.each4(spark, d, "text", *_ROW_FLAGS)
+    return rows.select("id", *(c.alias(n) for n, c in C.term_flags(F.col("text")).items())).distinct()
 
 
 @query(f"WITH {V.R4}, l AS (SELECT *, {_LABEL} AS label FROM rows4) SELECT id, label = 'benign' AND coalesce(expected_action, 'allow') = 'allow' AS hard_benign, CASE WHEN label = 'benign' THEN benign_subclass ELSE bypass_class END AS stratum FROM l")
@@ -126,7 +126,7 @@ def action_mapping(spark, d):
 
 @query(f"WITH {V.R4}, p AS (SELECT id, lower(text) AS low FROM rows4) SELECT id, list_sort(list_filter({list(fixed.PLACEHOLDERS)}, lambda x: coalesce(contains(low, x), false))) AS placeholders FROM p")
 def synthetic_fields(spark, d):
-    return V.rows4(spark, d, "text").select("id", C.placeholders_in(F.col("text")).alias("placeholders"))
+    return V.each4(spark, d, "text").select("id", C.placeholders_in(F.col("text")).alias("placeholders")).distinct()
 
 
 @query(f"WITH {V.R4}, p AS (SELECT unnest({list(fixed.PLACEHOLDERS)}) AS placeholder), t AS (SELECT lower(text) AS low FROM rows4 WHERE text IS NOT NULL) SELECT placeholder, sum((length(low) - length(replace(low, placeholder, ''))) // length(placeholder))::bigint AS occurrences FROM p CROSS JOIN t GROUP BY 1")
