@@ -25,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowkit import CHUNK_POINTS, Windows, batch, mix, ranges
+from .arrowkit import CHUNK_POINTS, Windows, batch, mix, partitions, ranges
 
-# Letters of other scripts that are drawn like a Latin letter, in the order of their Latin letters.
+# Letters that are drawn like a basic Latin letter in common sans-serif type, of Cyrillic, Greek, Armenian,
+# Cherokee and Lisu, and phonetic signs, in the order of their Latin letters. A letter that lacks a part (a dotless i) is another.
 LOOK_ALIKE = {
-    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "ԀᎠ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻҺ", "I": "ІΙӀ", "J": "ЈᎫͿ",
-    "K": "КΚᏦK", "L": "Ꮮ", "M": "МΜᎷϺ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս",
-    "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ΥУҮ", "Z": "ΖᏃ",
-    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ց", "h": "һհ", "i": "і", "j": "јϳ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛզ",
-    "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уү",
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐ", "C": "СϹᏟꓚ", "D": "ԀᎠꓓ", "E": "ЕΕᎬꓰ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "НΗᎻҺꓧ",
+    "I": "ІΙӀꓲ", "J": "ЈᎫͿꓙ", "K": "КΚᏦKꓗ", "L": "Ꮮꓡ", "M": "МΜᎷϺꓟ", "N": "Νꓠ", "O": "ОΟՕꓳ", "P": "РΡᏢꓑ",
+    "Q": "Ԛ", "R": "ᎡꓣᏒ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢꓔ", "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳꓪ", "X": "ХΧꓫ",
+    "Y": "ΥУҮꓬ", "Z": "ΖᏃꓜ", "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ցɡ", "h": "һհᏂ",
+    "i": "іᎥ", "j": "јϳյ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛզ", "s": "ѕ",
+    "u": "ս", "v": "ѵν", "w": "ԝѡ", "x": "х", "y": "уү",
 }
 # Hyphens and signs of the same shape.
 HYPHENS = "‐‑‒–⁃−˗﹣－"
@@ -274,7 +276,9 @@ def look_alike_classes(df: DataFrame, key: Column, text: Column) -> DataFrame:
     rows = df.select(key.alias("id"), text.alias("body")).where("body is not null")
     kind = rows.schema["id"].dataType.simpleString()
     schema = pa.schema([("id", _arrow(kind)), ("form_a", pa.int64()), ("form_b", pa.int64()), ("body_key", pa.int64())])
-    return rows.mapInArrow(_forms(_arrow(kind), schema, False), f"id {kind}, form_a long, form_b long, body_key long").distinct()
+    folded = rows.mapInArrow(_forms(_arrow(kind), schema, False), f"id {kind}, form_a long, form_b long, body_key long")
+    # one shuffle, by what no group is large in; whoever reads this again reads that shuffle, and no text is folded twice
+    return folded.repartition(partitions(df.sparkSession), "id").distinct()
 
 
 def look_alike_pairs(df: DataFrame, key: Column, text: Column) -> DataFrame:
