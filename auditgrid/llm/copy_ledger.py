@@ -19,8 +19,9 @@ Each version is written to new folders of the cluster's shared folder and never
 changed, so a lost executor or a repeated batch leaves no half a version.
 
 Scale. Copies are counted before they are shuffled; a group that holds a third
-of all rows is one row of a batch. Nothing is collected but the numbers of the
-touched buckets, of which there are BUCKETS at most.
+of all rows is one row of a batch. A ledger has as many buckets as keep each below
+about FILLED records of the first table, and as many tasks write them. Nothing is
+collected but the numbers of the touched buckets.
 """
 
 from __future__ import annotations
@@ -36,13 +37,13 @@ from pyspark.sql import functions as F
 
 from .arrowkit import batch, cut, letters_and_digits, shared_dir
 
-BUCKETS = 16
+BUCKETS, FILLED = 16, 250_000
 _STORED = {
     "ids": "id string, at timestamp, key binary, text_key binary, bucket int",
     "counts": "key binary, copies long, first struct<at: timestamp, id: string>, least_id string, bucket int",
     "aliases": "text_key binary, key binary",
 }
-_NAME = r"[^\W_][\w .\-]{0,60}?"
+_NAME = r"[^\W_][\w .\-]*?"
 _ASSIGN = re.compile(rf"\s*({_NAME})\s*=\s*([^;]*?)\s*", re.S)
 _LINE = re.compile(rf"\s*({_NAME})\s*:(?!//)\s*(.*?)\s*")
 
@@ -136,7 +137,7 @@ class Ledger:
         if known is not None:
             rows = rows.join(known.select("bucket", "id"), ["bucket", "id"], "left_anti")
         fresh = f"{self.folder}/v{self.version}/new"
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(fresh)
+        rows.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(fresh)
         if not self.spark.read.schema(_STORED["ids"]).parquet(fresh).head(1):
             return self
         new = self.spark.read.schema(_STORED["ids"]).parquet(fresh)
@@ -155,7 +156,7 @@ class Ledger:
             added = added.join(mine, ["bucket", "key"], "full_outer").select(
                 "key", (F.coalesce("copies", F.lit(0)) + F.coalesce("c0", F.lit(0))).alias("copies"), F.least("first", "f0").alias("first"), F.least("least_id", "l0").alias("least_id"), "bucket")
         path = f"{self.folder}/v{self.version}/counts"
-        added.repartition("bucket").write.partitionBy("bucket").parquet(path)
+        added.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(path)
         kept = [(p, (set(range(self.buckets)) if h is None else h) - touched) for p, h in self.tables["counts"]]
         self.tables["counts"] = [(p, h) for p, h in kept if h] + [(path, touched)]
         return self
@@ -202,9 +203,9 @@ class Ledger:
 
 def ledger_of(df: DataFrame, key: Column, at: Column, text: Column, batches: int = 3, folder: str | None = None) -> Ledger:
     """A ledger fed with a table in ``batches`` equal ranges of its time column, a null time first."""
-    ledger = Ledger(df.sparkSession, folder)
     rows = df.select(key.alias("id"), at.cast("timestamp").alias("at"), text.alias("body"))
-    low, high = rows.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
+    low, high, n = rows.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at")), F.count("*")).first()
+    ledger = Ledger(df.sparkSession, folder, max(BUCKETS, -(-n // FILLED)))
     if low is None or high == low:
         return ledger.merge(rows, F.col("id"), F.col("at"), F.col("body"))
     step = (high - low) // batches + 1
