@@ -23,12 +23,14 @@ Null and empty texts have no token: their ids are an empty list.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from .arrowkit import batch
 
@@ -141,9 +143,17 @@ def encoder(path: str = VOCABULARY, pattern: str = PATTERN) -> Encoder:
     return Encoder(path, pattern)
 
 
+def _shipped(spark: SparkSession, path: str) -> str:
+    """Give the executors the vocabulary file, which only the driver needs to have; its name there."""
+    name = os.path.basename(path)
+    if name not in map(os.path.basename, spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(path)
+    return name
+
+
 def _encode(path: str, pattern: str, schema: pa.Schema, only_count: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        own = encoder(SparkFiles.get(path), pattern)
         for rows in batches:
             for lo in range(0, rows.num_rows, 500):
                 part = rows.slice(lo, 500)
@@ -158,11 +168,11 @@ def token_ids(df: DataFrame, key: Column, text: Column, *, path: str = VOCABULAR
     """``doc_id, ids``: one row for each row; special tokens' strings are ordinary text."""
     rows = df.select(key.cast("long").alias("doc_id"), text.alias("body"))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return rows.mapInArrow(_encode(path, pattern, schema, False), "doc_id long, ids array<int>")
+    return rows.mapInArrow(_encode(_shipped(df.sparkSession, path), pattern, schema, False), "doc_id long, ids array<int>")
 
 
 def token_counts(df: DataFrame, key: Column, group: Column, text: Column, *, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``doc_id, grp, tokens``: one row for each row; zero for null and empty texts."""
     rows = df.select(key.cast("long").alias("doc_id"), group.cast("string").alias("grp"), text.alias("body"))
     schema = pa.schema([("doc_id", pa.int64()), ("grp", pa.string()), ("tokens", pa.int64())])
-    return rows.mapInArrow(_encode(path, pattern, schema, True), "doc_id long, grp string, tokens long")
+    return rows.mapInArrow(_encode(_shipped(df.sparkSession, path), pattern, schema, True), "doc_id long, grp string, tokens long")
