@@ -90,9 +90,12 @@ def mixed_documents(tokens: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix_report(mixed: DataFrame, plan: DataFrame) -> DataFrame:
-    """One row for each target: wanted and actual share of all tokens taken, and repeats."""
+    """One row for each target: wanted and actual share of all tokens taken, and repeats.
+
+    ``binding`` marks the source that keeps the total from being larger.
+    """
     taken = mixed.groupBy("source").agg(F.count("*").alias("copies_taken"), F.countDistinct("doc_id").alias("docs_taken"), F.sum("tokens").alias("tokens_taken"), F.max("copy").alias("most_repeats"))
-    out = plan.select("source", "target_share", "max_repeats", F.col("docs").alias("docs_available"), F.col("available").alias("tokens_available")).join(taken, "source", "left")
+    out = plan.select("source", "target_share", "max_repeats", F.col("docs").alias("docs_available"), F.col("available").alias("tokens_available"), F.coalesce((F.col("share") > 0) & (F.floor(F.col("available") * F.col("max_repeats") / F.when(F.col("share") > 0, F.col("share"))) <= F.col("total")), F.lit(False)).alias("binding")).join(taken, "source", "left")
     zero = {c: 0 for c in ("copies_taken", "docs_taken", "tokens_taken", "most_repeats")}
     out = out.fillna(zero)
     every = F.sum("tokens_taken").over(Window.partitionBy())

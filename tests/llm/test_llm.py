@@ -292,6 +292,8 @@ def test_p4_named_fields():
     same = ['{"b": "X-1", "a": 2}', "a=2; b = x1", "B: X 1\n\nA : 2", ' {\n "a" : "2", "b":"x1"}']
     keys = {copy_ledger.canonical_keys(t)[1] for t in same}
     assert len(keys) == 1 and None not in keys
+    long_ = "name " * 30 + "end"
+    assert copy_ledger.canonical_keys(f"{long_}: 1\nb: 2")[1] == copy_ledger.canonical_keys(f"b = 2; {long_} = 1")[1] is not None
     for prose_text in ("Hello: this is prose.", "{not json}", '{"a": [1]}', "x = y", "", "see https://a.b/c\nhttp://d.e/f"):
         assert copy_ledger.named_fields(prose_text) is None
     assert copy_ledger.canonical_keys("?! \n") == (None, None) and copy_ledger.canonical_keys(None) == (None, None)
@@ -338,6 +340,7 @@ def test_p5_forms():
     for kept in ("Case", "café", "l33t", "a\r\nb", "two  spaces", "x²"):
         assert form([kept]) == [kept]
     assert form(["case"]) != form(["Case"]) and form(["cafe"]) != form(["café"])
+    assert form(["ɡɑӏ Ꭱꓐѡ"]) == ["gal RBw"] and form(["ı"]) == ["ı"]
 
 
 def test_p5_composes_like_the_standard():
@@ -388,6 +391,7 @@ def test_p7_shares_repeats_and_order(spark):
     mix, plan = mixed(spark, docs, [("big", 0.6, 1), ("small", 0.3, 4), ("absent", 0.1, 2)])
     report = {r.source: r for r in source_mix.mix_report(mix, plan).collect()}
     assert report["big"].actual_share == pytest.approx(2 / 3, abs=0.005) and report["small"].most_repeats <= 4
+    assert [r.source for r in report.values() if r.binding] == ["small"]
     assert report["absent"].tokens_taken == 0 and report["absent"].docs_available == 0
     taken = mix.collect()
     assert len({(r.doc_id, r.copy) for r in taken}) == len(taken) and not {9001, 9002, 9003} & {r.doc_id for r in taken}
