@@ -71,15 +71,22 @@ def simhash(df: DataFrame, key: str, compact: str, n: int = 7) -> DataFrame:
     return rows.mapInArrow(_signatures(n, schema), f"{key} {kind}, signature long, grams int")
 
 
-def banded_pairs(signatures: DataFrame, key: str) -> DataFrame:
+def banded_pairs(signatures: DataFrame, key: str, threshold: float = 0.0) -> DataFrame:
     """``a < b``: distinct pairs of keys whose signatures agree in one of four 16-bit bands.
 
-    Equal signatures count as one for pairing and are expanded afterwards.
+    Equal signatures count as one for pairing and are expanded afterwards. Two
+    classes meet in the first band that they share, so no pair has to be dropped
+    again, and with a ``threshold`` only if ``grams`` of some of their members are
+    within that ratio; this is seen in the join, before a pair is shuffled.
     """
-    classes = signatures.groupBy("signature").agg(F.min(key).alias("rep"))
-    bands = classes.select("rep", F.posexplode(F.array(*(C.band(F.col("signature"), i) for i in range(4)))).alias("i", "value"))
-    other = bands.select(F.col("rep").alias("rep2"), "i", "value")
-    near = bands.join(other, ["i", "value"]).where("rep < rep2").select("rep", "rep2").distinct()
+    sized = {"fewest": F.min("grams"), "most": F.max("grams")} if threshold else {"fewest": F.lit(0), "most": F.lit(0)}
+    classes = signatures.groupBy("signature").agg(F.min(key).alias("rep"), *(c.alias(n) for n, c in sized.items()))
+    bands = classes.select("*", F.posexplode(F.array(*(C.band(F.col("signature"), i) for i in range(4)))).alias("i", "value"))
+    other = bands.select(*(F.col(c).alias(f"{c}2") for c in ("rep", "signature", "fewest", "most")), "i", "value")
+    apart = F.col("signature").bitwiseXOR(F.col("signature2"))
+    first = C.any_of((F.col("i") > j) & (C.band(apart, j) == 0) for j in range(4))
+    within = (F.col("most") >= threshold * F.col("fewest2")) & (F.col("most2") >= threshold * F.col("fewest"))
+    near = bands.join(other, ["i", "value"]).where((F.col("rep") < F.col("rep2")) & ~first & within).select("rep", "rep2")
     member = signatures.join(classes, "signature").select(F.col(key).alias("m"), "rep")
     apart = near.join(member.withColumnRenamed("m", "x"), "rep").join(member.select(F.col("m").alias("y"), F.col("rep").alias("rep2")), "rep2").select("x", "y")
     same = member.select(F.col("m").alias("x"), "rep").join(member.select(F.col("m").alias("y"), "rep"), "rep").where("x < y").select("x", "y")
@@ -109,7 +116,7 @@ def near_duplicates(df: DataFrame, key: str, compact: str, threshold: float = 0.
     Only signatures, sizes and keys are shuffled until the pairs are known.
     """
     signed = cut(simhash(df, key, compact))
-    pairs = banded_pairs(signed.select(key, "signature"), key)
+    pairs = banded_pairs(signed.select(key, "signature", "grams"), key, threshold)
     facts = signed.select(key, "grams").join(df.select(key, *extra), key) if extra else signed.select(key, "grams")
     for side in ("a", "b"):
         pairs = pairs.join(facts.select(*(F.col(c).alias(f"{c}_{side}") for c in facts.columns)), F.col(side) == F.col(f"{key}_{side}"))
