@@ -30,11 +30,14 @@ def partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    Only where no such folder is set (tests on one machine), one in the
-    warehouse folder is used and set.
+    Only where no such folder is set on one machine (tests), one in the warehouse
+    folder is used and set; on a cluster that is an error, as its executors share
+    no local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -69,3 +69,12 @@ k AS (SELECT id, {_LETTERS} AS words, CASE WHEN regexp_matches(text, '^\\s*\\{{'
 f AS (SELECT id, coalesce(fields::varchar, min(fields::varchar) OVER (PARTITION BY words), words) AS file FROM k), g AS (SELECT id, min(id) OVER (PARTITION BY file) AS keep_id FROM f)
 SELECT DISTINCT keep_id, id AS copy_id FROM g WHERE id <> keep_id"""
 SQL["p4_found"] = _P4
+
+SQL["p3_report"] = f"""WITH {_BASE}, s AS (SELECT x.id AS v, y.id AS e, count(*) AS k FROM g x JOIN g y ON x.p = y.p AND x.split IN ('validation', 'test') AND y.split = 'exemplar_bank' GROUP BY 1, 2),
+m AS (SELECT v, max(k::double / n) AS c FROM s JOIN n ON n.id = v WHERE k >= 0.8::double * n GROUP BY 1), once AS (SELECT DISTINCT id, split, family_id FROM corpus_v4 WHERE split IN ('validation', 'test'))
+SELECT split, family_id, count(*) AS records, count(c) AS overlapped, count(*) FILTER (c = 1) AS wholly_found, round(max(c), 6) AS most_contained FROM once LEFT JOIN m ON m.v = once.id GROUP BY 1, 2"""
+SQL["p4_counts"] = (
+    _P4.split("g AS (")[0].rstrip(", \n")
+    + ", a AS (SELECT id, min(loaded_at) AS loaded FROM corpus_v7 GROUP BY 1), g AS (SELECT id, loaded, min(id) OVER (PARTITION BY file) AS keep_id FROM f JOIN a USING (id)) SELECT keep_id, arg_min(id, (loaded, id)) AS first_id, count(*) AS copies FROM g GROUP BY 1"
+)
+SQL["p5_forms"] = f"SELECT id, {_FORM} AS form, coalesce(regexp_matches({_FORM}, '[\\p{{L}}\\p{{N}}]'), false) AS shown FROM corpus_v4"

@@ -464,6 +464,21 @@ def test_p8_keywords_in_any_order_and_beside_clauses():
     assert not stuffed("The margin of the second run is at https://a.example/some/long/path/of/the/report/which/has/it")
 
 
+@needs_tables
+@pytest.mark.parametrize("name", sorted(Q.SQL))
+def test_queries_equal_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    df = Q.QUERIES[name](spark, "/root/testdata/sf0.001")
+    found = con.execute(Q.SQL[name])
+    names = [c[0] for c in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, map(tuple, df.select(*names).collect()))) == sorted(map(repr, found.fetchall()))
+
+
 @needs_tables
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_queries_run_on_small_tables(spark, name):
