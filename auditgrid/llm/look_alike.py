@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .arrowkit import CHUNK_POINTS, Windows, batch, mix, partitions, ranges
 
@@ -272,11 +273,13 @@ def look_alike_forms(df: DataFrame, key: Column, text: Column) -> DataFrame:
 
 
 def look_alike_classes(df: DataFrame, key: Column, text: Column) -> DataFrame:
-    """``id, form_a, form_b, body_key``: each record with a letter or digit, once for each of its texts."""
-    rows = df.select(key.alias("id"), text.alias("body")).where("body is not null")
+    """``id, form_a, form_b, body_key``: each record with a key and a letter or digit, once for each of its texts."""
+    rows = df.select(key.alias("id"), text.alias("body")).where("id is not null and body is not null")
     kind = rows.schema["id"].dataType.simpleString()
     schema = pa.schema([("id", _arrow(kind)), ("form_a", pa.int64()), ("form_b", pa.int64()), ("body_key", pa.int64())])
-    folded = rows.mapInArrow(_forms(_arrow(kind), schema, False), f"id {kind}, form_a long, form_b long, body_key long")
+    # declared without nulls: otherwise each reader puts its own filter below the shuffle, which is then another one
+    declared = StructType([StructField("id", rows.schema["id"].dataType, False), *(StructField(c, LongType(), False) for c in ("form_a", "form_b", "body_key"))])
+    folded = rows.mapInArrow(_forms(_arrow(kind), schema, False), declared)
     # one shuffle, by what no group is large in; whoever reads this again reads that shuffle, and no text is folded twice
     return folded.repartition(partitions(df.sparkSession), "id").distinct()
 
