@@ -236,3 +236,10 @@ def measurement_grid(spark, d):
     cells = traps.select("trap", F.explode(F.concat(plain, evaded)).alias("c")).select("trap", "c.*", F.explode(F.sequence(F.lit(1), F.col("c.size"))).alias("n"))
     number = F.lpad((F.col("base") + F.col("n")).cast("string"), 3, "0")
     return cells.select(F.concat_ws("-", F.lit("ms"), C.slug(F.col("trap")), "kind", number).alias("id"), "trap", "label", "technique", F.concat(F.lit("v"), F.col("n").cast("string")).alias("variant"))
+
+
+@query("SELECT corpus_id, CASE WHEN attack_class = 'benign' THEN 'benign' ELSE 'attack' END AS label, count(*) AS rows FROM (SELECT DISTINCT 'v4' AS corpus_id, id, attack_class FROM corpus_v4 UNION ALL SELECT DISTINCT 'v7', id, attack_class FROM corpus_v7) GROUP BY 1, 2")
+def corpora_by_id(spark, d):
+    """Records of both corpora in one set, by the corpus that they come from."""
+    both = [r.select(F.lit(name).alias("corpus_id"), "id", "attack_class") for name, r in (("v4", V.rows4(spark, d, "attack_class")), ("v7", V.rows7(spark, d, "attack_class")))]
+    return both[0].unionByName(both[1]).groupBy("corpus_id", C.label().alias("label")).agg(F.count("*").alias("rows"))

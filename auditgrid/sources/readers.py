@@ -27,6 +27,13 @@ def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return json_rows_or_errors(spark, path, schema).where(f"{CORRUPT} is null").drop(CORRUPT, "file")
 
 
+def typed_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of which every field must be there; a null or mistyped one is an error when read."""
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    need = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"missing field {c}"))).otherwise(F.col(c))
+    return df.select(*(need(c).alias(c) for c in df.columns))
+
+
 def json_documents(spark: SparkSession, path: str, schema: str, order: str | None = None, limit: int | None = None) -> DataFrame:
     """One JSON document a file, of one file or a folder; the first ``limit`` in order of a column."""
     df = spark.read.schema(schema).option("multiLine", True).json(path)
@@ -73,7 +80,7 @@ def text_lines(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".
 
 def whole_texts(spark: SparkSession, folder: str) -> DataFrame:
     """``file, value``: one row a file."""
-    return spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
+    return spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
 def cached_vectors(spark: SparkSession, path: str, rows: DataFrame, key: str = "id") -> DataFrame:

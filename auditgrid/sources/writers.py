@@ -8,7 +8,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..functions import columns as C
 from ..functions.fixed import RAW_TEXT_FIELDS
@@ -38,9 +38,9 @@ def checked(df: DataFrame) -> DataFrame:
 
 
 def private_values(df: DataFrame) -> Column:
-    """True where a top-level string holds a link or a mail address."""
-    names = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
-    return C.any_of(C.has_url(F.col(n)) | C.has_mail(F.col(n)) for n in names)
+    """True where a string at any depth holds a link or a mail address."""
+    whole = F.to_json(F.struct(*(F.col(c) for c in df.columns)))
+    return C.has_url(whole) | C.has_mail(whole)
 
 
 def write_rows(df: DataFrame, path: str, kind: str = "json", by: list[str] | None = None) -> None:
@@ -49,6 +49,16 @@ def write_rows(df: DataFrame, path: str, kind: str = "json", by: list[str] | Non
     (writer.partitionBy(*by) if by else writer).format(kind).save(path)
 
 
+def write_each(df: DataFrame, path: str, key: str) -> None:
+    """A folder with one JSON file for each value of a key of unique values; raw text fields are an error."""
+    checked(df).repartition(key).write.mode("errorifexists").partitionBy(key).json(path)
+
+
+def pretty_json(df: DataFrame) -> Column:
+    """Columns as indented JSON, keys sorted, nulls kept."""
+    return F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))), {"ignoreNullFields": "false", "pretty": "true"})
+
+
 def canonical_json(df: DataFrame) -> Column:
     """Columns as JSON, keys sorted, nulls kept."""
     return F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))), {"ignoreNullFields": "false"})

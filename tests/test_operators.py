@@ -270,3 +270,69 @@ def test_view_flags_look_past_signs(spark):
     assert got["c"].gated_r1 and not got["c"].hard_benign_allow
     assert got["d"].terminal_escape and got["e"].retrieval_taint
     assert not any(got["f"][n] for n in ("hard_benign_allow", "gated_r1", "terminal_escape", "memory_taint", "retrieval_taint"))
+
+
+def test_text_scans(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.md").write_text("one\ntwo\n")
+    (tmp_path / "b.bin").write_text("three")
+    assert sorted(r.value for r in readers.text_lines(spark, str(tmp_path)).collect()) == ["one", "two"]
+    assert {r.value for r in readers.whole_texts(spark, str(tmp_path)).collect()} == {"one\ntwo\n", "three"}
+
+
+def test_json_objects_and_documents(spark, tmp_path):
+    for name, body in (("a", '{\n "id": "2",\n "n": 1}'), ("b", '{"id": "1", "n": 5}')):
+        (tmp_path / f"{name}.json").write_text(body)
+    assert [r.id for r in readers.json_documents(spark, str(tmp_path), "id string, n long", order="id", limit=1).collect()] == ["1"]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.jsonl").write_text('{"id": "1"}\n[2]\nnonsense\n')
+    assert [r.id for r in readers.json_objects(spark, str(tmp_path / "c"), "id string").collect()] == ["1"]
+
+
+def test_typed_rows_need_every_field(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "1", "n": 2}\n')
+    assert readers.typed_rows(spark, str(tmp_path), "id string, n long").first().n == 2
+    (tmp_path / "b.jsonl").write_text('{"id": "2"}\n')
+    with pytest.raises(Exception, match="missing field n"):
+        readers.typed_rows(spark, str(tmp_path), "id string, n long").collect()
+
+
+def test_parquet_columns_limit_and_schema(spark, tmp_path):
+    spark.range(9).selectExpr("id", "id + 1 AS more").write.parquet(str(tmp_path / "p"))
+    df = readers.parquet_rows(spark, str(tmp_path / "p"), ["more"], limit=4)
+    assert df.columns == ["more"] and df.count() == 4 and '"more"' in readers.schema_json(df)
+
+
+def test_cached_vectors_follow_the_text(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
+    kept = rows.select("id", F.sha2(F.when(F.col("id") == "a", F.col("text")).otherwise("old"), 256).alias("text_hash"), F.array(F.lit(1.0)).alias("vector"))
+    kept.write.parquet(str(tmp_path / "v"))
+    got = {r.id: r.vector for r in readers.cached_vectors(spark, str(tmp_path / "v"), rows).collect()}
+    assert got == {"a": [1.0], "b": None}
+
+
+def test_files_and_private_values(spark, tmp_path):
+    (tmp_path / "x.txt").write_bytes(b"abc")
+    line = writers.file_hashes(spark.read.format("binaryFile").load(str(tmp_path / "x.txt"))).first().line
+    assert line == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad  x.txt"
+    df = spark.createDataFrame([(1, {"a": ["see https://x.y"]}), (2, {"a": ["m@x.org"]}), (3, {"a": ["plain"]})], "id long, m map<string, array<string>>")
+    assert {r.id: r.p for r in df.select("id", writers.private_values(df).alias("p")).collect()} == {1: True, 2: True, 3: False}
+    writers.write_each(spark.createDataFrame([("a", 1), ("b", 2)], "id string, n long"), str(tmp_path / "each"), "id")
+    assert len(list((tmp_path / "each").rglob("*.json"))) == 2
+    assert "\n" in spark.range(1).select(writers.pretty_json(spark.range(1)).alias("j")).first().j
+
+
+def test_first_seen_drops_repeats(spark, tmp_path):
+    from auditgrid.streaming import windows
+
+    rows = [("a", "2025-01-01 00:00:00"), ("a", "2025-01-01 00:01:00"), ("b", "2025-01-01 00:02:00")]
+    spark.createDataFrame(rows, "id string, at string").select("id", F.col("at").cast("timestamp").alias("at")).write.parquet(str(tmp_path / "in"))
+    stream = windows.file_stream(spark, str(tmp_path / "in"), "id string, at timestamp")
+    windows.drain(windows.first_seen(stream, "at", ["id"]), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_braille_round_trip_and_risky_tags(spark):
+    df = spark.createDataFrame([("abc xyz", ["Zalgo"]), ("q", ["Leet"]), ("r", None)], "t string, tags array<string>")
+    got = df.select(C.unbraille(C.braille(F.col("t"))).alias("t"), C.risky_transform().alias("risky")).collect()
+    assert [r.t for r in got] == ["abc xyz", "q", "r"] and [r.risky for r in got] == [True, False, False]
