@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,36 +34,33 @@ def recall_at_fpr(df: DataFrame, truth: Column, score: str, target: float) -> Da
     return held.agg(F.min("score").alias("tau"), F.max(ratio(F.col("tp"), F.col("attacks"))).alias("recall"), F.max("fpr").alias("fpr"), F.max("tp").alias("tp"), F.max("fp").alias("fp"))
 
 
-def values_at(df: DataFrame, score: str, ranks: list[int], count: int) -> DataFrame:
-    """``rank, value`` of the scores at some ranks, counted from zero in ascending order.
+def values_at(df: DataFrame, score: str, places: list[float], count: int) -> DataFrame:
+    """``place, value``: scores at places in ascending order, counted from zero, linear between two ranks.
 
     No task holds the scores in order: a distinct score covers a range of ranks by
     its running count, and meets the ranks that are asked for in blocks of ranks.
     ``count`` is the number of scores; the asked ranks are broadcast.
     """
-    s = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("value")).agg(F.count("*").alias("c"))
-    run = running_sums(s, "value", ["c"]).select("value", (F.col("c_run") - F.col("c")).alias("from"), (F.col("c_run") - 1).alias("to"))
-    size = max(1, count // max(1, len(ranks)))
-    asked = df.sparkSession.createDataFrame([(r, r // size) for r in ranks], "rank long, block long")
+    s = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.count("*").alias("c"))
+    run = running_sums(s, "score", ["c"]).select("score", (F.col("c_run") - F.col("c")).alias("from"), (F.col("c_run") - 1).alias("to"))
+    size = max(1, count // max(1, len(places)))
+    rows = [(p, r, w) for p in places for r, w in ({math.floor(p): math.ceil(p) - p} | {math.ceil(p): p - math.floor(p)} if p % 1 else {int(p): 1.0}).items()]
+    asked = df.sparkSession.createDataFrame(pa.table({"place": [p for p, _, _ in rows], "rank": [r for _, r, _ in rows], "weight": [w for _, _, w in rows], "block": [r // size for _, r, _ in rows]}))
     spread = run.select("*", F.explode(F.sequence(F.expr(f"`from` div {size}"), F.expr(f"`to` div {size}"))).alias("block"))
-    return spread.join(F.broadcast(asked), "block").where((F.col("rank") >= F.col("from")) & (F.col("rank") <= F.col("to"))).select("rank", "value")
+    met = spread.join(F.broadcast(asked), "block").where((F.col("rank") >= F.col("from")) & (F.col("rank") <= F.col("to")))
+    low, high = F.min("score"), F.max("score")
+    return met.groupBy("place").agg(F.when(low == high, low).otherwise(F.sum(F.col("weight") * F.col("score"))).alias("value"))
 
 
 def quantile_grid(df: DataFrame, score: str, n: int) -> DataFrame:
     """``tau``: distinct quantiles of the scores (linear), and a value below and above all."""
-    count = df.where(F.col(score).isNotNull()).count()
+    count, low, high = df.agg(F.count(score), F.min(score), F.max(score)).first()
+    spark = df.sparkSession
     if not count:
-        return df.sparkSession.createDataFrame([], "tau double")
-    places = [(count - 1) * (i / (n - 1)) for i in range(n)]
-    rows = [(p, math.floor(p), math.ceil(p)) for p in places]
-    at = values_at(df, score, sorted({r for _, lo, hi in rows for r in (lo, hi)}), count)
-    grid = F.broadcast(df.sparkSession.createDataFrame(rows, "place double, lo long, hi long"))
-    low = at.select(F.col("rank").alias("lo"), F.col("value").alias("below")).join(grid, "lo")
-    both = low.join(at.select(F.col("rank").alias("hi"), F.col("value").alias("above")), "hi")
-    between = (F.col("hi") - F.col("place")) * F.col("below") + (F.col("place") - F.col("lo")) * F.col("above")
-    q = both.select(F.when((F.col("lo") == F.col("hi")) | (F.col("below") == F.col("above")), F.col("below")).otherwise(between).alias("tau"))
-    ends = df.agg(F.min(score).alias("low"), F.max(score).alias("high")).select(F.explode(F.array(F.col("low") - PAD, F.col("high") + PAD)).alias("tau"))
-    return q.unionByName(ends).distinct()
+        return spark.createDataFrame([], "tau double")
+    places = sorted({(count - 1) * (i / (n - 1)) for i in range(n)})
+    ends = spark.createDataFrame(pa.table({"tau": [float(low) - PAD, float(high) + PAD]}))
+    return values_at(df, score, places, count).select(F.col("value").alias("tau")).unionByName(ends).distinct()
 
 
 def grid_counts(df: DataFrame, truth: Column, score: str, n: int) -> DataFrame:

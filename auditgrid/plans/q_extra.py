@@ -97,7 +97,7 @@ _FLAGS = ("source_type", "trust_level", "requires_tool_call", "contains_sensitiv
 @query()
 def intent_terms_normalized(spark, d):
     """Decision flags with terms looked for in the text and its normalized form; no SQL, as the normalizer has none."""
-    rows = V.each4(spark, d, "text", *_FLAGS).withColumn("n", N.normalized_second(F.col("text")))
+    rows = V.spread(V.each4(spark, d, "text", *_FLAGS)).withColumn("n", N.normalized_second(F.col("text")))
     flags = C.term_flags(C.searched(F.col("text"), F.col("n.text")), F.col("n.tags"))
     return rows.select("id", *(c.alias(name) for name, c in flags.items())).distinct()
 
@@ -105,7 +105,7 @@ def intent_terms_normalized(spark, d):
 @query()
 def view_terms(spark, d):
     """Decision flags with terms looked for in all readings of a text; no SQL, as the normalizer has none."""
-    rows = V.each4(spark, d, "text", *_FLAGS).withColumn("n", N.normalized_second(F.col("text")))
+    rows = V.spread(V.each4(spark, d, "text", *_FLAGS)).withColumn("n", N.normalized_second(F.col("text")))
     rows = rows.withColumn("views", N.views(F.col("text"), F.col("n.text")))
     return rows.select("id", *(c.alias(name) for name, c in C.view_flags(F.col("views"), F.col("n.tags")).items())).distinct()
 
@@ -113,7 +113,7 @@ def view_terms(spark, d):
 @query()
 def metadata_score_normalized(spark, d):
     """The metadata score on the normalized text with the weights of its transforms; no SQL, as the normalizer has none."""
-    rows = V.each4(spark, d, "text", *_FLAGS).where("text is not null").withColumn("n", N.normalized_second(F.col("text")))
+    rows = V.spread(V.each4(spark, d, "text", *_FLAGS)).where("text is not null").withColumn("n", N.normalized_second(F.col("text")))
     return rows.select("id", C.metadata_score(F.col("n.text"), F.col("n.tags")).alias("score")).distinct()
 
 

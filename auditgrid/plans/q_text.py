@@ -144,13 +144,13 @@ def turn_statistics(spark, d):
 
 @query()
 def normalize_v1(spark, d):
-    n = _each(spark, d).select("id", N.normalized_first(F.col("text")).alias("n"))
+    n = V.spread(_each(spark, d)).select("id", N.normalized_first(F.col("text")).alias("n"))
     return n.select("id", C.sha_hex(F.col("n.text")).alias("normalized_sha256"), F.col("n.tags").alias("transform_tags")).distinct()
 
 
 @query()
 def normalize_v2(spark, d):
-    n = _each(spark, d).select("id", N.normalized_second(F.col("text")).alias("n"))
+    n = V.spread(_each(spark, d)).select("id", N.normalized_second(F.col("text")).alias("n"))
     return n.select("id", C.sha_hex(F.col("n.text")).alias("normalized_sha256"), F.col("n.tags").alias("transform_tags")).distinct()
 
 

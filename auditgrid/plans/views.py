@@ -34,6 +34,15 @@ def each4(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return table(spark, folder, "corpus_v4").select("id", *columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows in at least as many partitions as there are cores, for slow functions of few files.
+
+    A table with as many partitions is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rows7(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Corpus records of round 7: id and the named columns."""
     return table(spark, folder, "corpus_v7").select("id", *columns).distinct()
