@@ -48,7 +48,7 @@ from .arrowkit import PACKED, batch, bucket_ids, by_part, cut, meet, message_bat
 
 BITS, RADIUS, KEPT, CHECK_RADIUS, SAMPLE, ROUNDS = 64, 11, 15, 14, 8192, 25
 DECIMALS = 6
-FLOOR, DENSE, ASKED = 0.9, 2048, 16384
+FLOOR, DENSE, SEEN, ASKED = 0.9, 2048, 4096, 16384
 ALONE = 2
 
 
@@ -220,9 +220,12 @@ def _probe(parts: list[tuple[int, int]], spread: int, radius: int, kept: int, ch
             near_by = lambda i, k: (np.bitwise_count(code[i] ^ code[k]) <= kept) & (np.bitwise_count(check[i] ^ check[k]) <= check_radius)
             crowded = np.zeros(len(cls), bool)
             for g in np.flatnonzero(count > dense):
-                span = slice(begin[g], begin[g] + count[g])
-                for i in range(span.start, span.stop):
-                    crowded[i] = np.count_nonzero(near_by(i, span)) > dense
+                # counted on members at even steps; which way a class goes doesn't change its result
+                span = np.arange(begin[g], begin[g] + count[g])
+                some = span[:: max(1, len(span) // SEEN)]
+                for lo in range(0, len(span), 256):
+                    i = span[lo : lo + 256]
+                    crowded[i] = near_by(i[:, None], some[None, :]).sum(1) * len(span) > dense * len(some)
             if crowded.any():
                 # a pair with itself names a crowded class
                 yield batch(_PAIR, cls[crowded], cls[crowded])
@@ -231,7 +234,7 @@ def _probe(parts: list[tuple[int, int]], spread: int, radius: int, kept: int, ch
                 other = value[mine] ^ flip
                 at = np.minimum(np.searchsorted(value, other), len(value) - 1)
                 hit = value[at] == other
-                for i, k in _meetings(begin, count, mine[hit], at[hit]):
+                for i, k in _meetings(begin, count, mine[hit], at[hit], crowded):
                     ok = (cls[i] < cls[k]) & ~(crowded[i] & crowded[k])
                     i, k = i[ok], k[ok]
                     ok = near_by(i, k)
@@ -251,15 +254,17 @@ def _probe(parts: list[tuple[int, int]], spread: int, radius: int, kept: int, ch
     return run
 
 
-def _meetings(begin: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All places of the left values with all of the right ones, about ``most`` at a time."""
+def _meetings(begin: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarray, crowded: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All places of the left values with all of the right ones, about ``most`` at a time; of large values no two crowded ones."""
     work = count[left] * count[right]
     large = work > most
     for l, r in zip(left[large], right[large]):
-        step = max(1, most // int(count[r]))
-        for lo in range(begin[l], begin[l] + count[l], step):
-            i = np.arange(lo, min(lo + step, begin[l] + count[l]))
-            yield np.repeat(i, count[r]), np.tile(np.arange(begin[r], begin[r] + count[r]), len(i))
+        lefts, rights = np.arange(begin[l], begin[l] + count[l]), np.arange(begin[r], begin[r] + count[r])
+        for some, others in ((lefts[~crowded[lefts]], rights), (lefts[crowded[lefts]], rights[~crowded[rights]])):
+            step = max(1, most // max(1, len(others)))
+            for lo in range(0, len(some) if len(others) else 0, step):
+                i = some[lo : lo + step]
+                yield np.repeat(i, len(others)), np.tile(others, len(i))
     left, right, work = left[~large], right[~large], work[~large]
     if len(work):
         group = np.cumsum(work) // most
