@@ -288,6 +288,45 @@ def test_p3_finds_edited_texts_of_shared_sentences(spark):
     assert len(want) > 500 and len(want & found) >= 0.998 * len(want)
 
 
+def _scattered():
+    """Texts whose pieces are found in others, but in short stretches, or with all edits where the text is rare."""
+    rng = random.Random(14)
+    sentences = [letters(prose(rng, 9)) for _ in range(6)]
+    examined, other = {}, {}
+    for i in range(60):
+        t = letters(prose(rng, rng.randint(15, 40)))
+        parts = [t[at : at + 15] for at in range(0, len(t), 9)]
+        rng.shuffle(parts)
+        examined[f"s{i}"], other[f"t{i}"] = t, "".join(parts)
+        common, own = "".join(rng.sample(sentences, 5)), letters(prose(rng, rng.randint(8, 12)))
+        edited = "".join("0" if at % 14 == 6 else c for at, c in enumerate(own))
+        examined[f"r{i}"], other[f"q{i}"] = common[:200] + own + common[200:], common[:200] + edited + common[200:]
+        examined[f"b{i}"], other[f"a{i}"] = ("".join(rng.choice("ab") for _ in range(n)) for n in (rng.randint(80, 150), rng.randint(200, 1500)))
+    examined["one"], other["ones"] = "z" * 100, "z" * 90
+    sets = {k: pieces(t) for k, t in (other | examined).items()}
+    return examined, other, {(v, e) for v in examined for e in other if len(sets[v] & sets[e]) >= 0.8 * len(sets[v])}
+
+
+def test_p3_finds_texts_scattered_or_edited_where_rare(spark):
+    examined, other, want = _scattered()
+    df = spark.createDataFrame([(k, "test", t) for k, t in examined.items()] + [(k, "exemplar_bank", t) for k, t in other.items()], "id string, split string, text string")
+    found = {(r.examined_id, r.other_id) for r in split_overlap.split_overlap(df, F.col("id"), F.col("text"), F.col("split"), other=["exemplar_bank"], examined=["test"]).collect()}
+    assert {f"{a}{i}" for a in "sb" for i in range(60)} | {"one"} <= {v for v, _ in want} and sum(v[0] == "r" for v, _ in want) > 20
+    assert found == want
+
+
+def test_p3_cuts_blocks_without_loss(monkeypatch):
+    examined, other, want = _scattered()
+    for name, value in {"BLOCK": 20_000, "CHUNK_POINTS": 7_000, "LAID": 500}.items():
+        monkeypatch.setattr(split_overlap, name, value)
+    rows = [(t, split_overlap.OTHER) for t in other.values()] + [(t, split_overlap.EXAMINED) for t in examined.values()]
+    tables = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in r]), pa.array([s for _, s in r], pa.int32())], names=["body", "side"]) for r in (rows, rows[::2])]
+    messages = list(split_overlap._texts(list(range(7)), 80)(iter(tables)))
+    key = {split_overlap.text_key(t): k for k, t in (other | examined).items()}
+    found = [(key[r["v"]], key[r["e"]]) for out in split_overlap._cover(0.8)(iter(messages)) for r in out.to_pylist()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_p4_named_fields():
     same = ['{"b": "X-1", "a": 2}', "a=2; b = x1", "B: X 1\n\nA : 2", ' {\n "a" : "2", "b":"x1"}']
     keys = {copy_ledger.canonical_keys(t)[1] for t in same}
