@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import sys
 import unicodedata
 from collections import defaultdict
 from pathlib import Path
@@ -327,6 +328,45 @@ def test_p3_cuts_blocks_without_loss(monkeypatch):
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def _messages(other, examined, cells):
+    rows = [(t, split_overlap.OTHER) for t in other] + [(t, split_overlap.EXAMINED) for t in examined]
+    return list(split_overlap._texts(list(range(cells)), 80)(iter([pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows]), pa.array([s for _, s in rows], pa.int32())], names=["body", "side"])])))
+
+
+@pytest.mark.parametrize("few, marks, more", [(1, 1024, 36), (300, 64, 36), (1 << 17, 64, 1000), (1 << 17, 1024, 2)])
+def test_p3_joins_one_text_or_many_without_loss(monkeypatch, few, marks, more):
+    examined, other, want = _scattered()
+    for name, value in {"FEW": few, "MARKS": marks, "MORE": more, "NEAR": 100}.items():
+        monkeypatch.setattr(split_overlap, name, value)
+    key = {split_overlap.text_key(t): k for k, t in (other | examined).items()}
+    found = [(key[r["v"]], key[r["e"]]) for out in split_overlap._cover(0.8)(iter(_messages(other.values(), examined.values(), 3))) for r in out.to_pylist()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_p3_looks_up_texts_together():
+    """Function calls for each examined text, as time depends on the machine: 95 when texts were looked up one at a time."""
+    rng, calls = random.Random(15), [0]
+    sentences = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(200)]
+    texts = ["".join(rng.sample(sentences, 5)) + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(3000)]
+    messages, before = _messages(texts[:1500], texts[1500:], 1), sys.getprofile()
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event in ("call", "c_call"))))
+    try:
+        found = list(split_overlap._cover(0.8)(iter(messages)))
+    finally:
+        sys.setprofile(before)
+    assert sum(out.num_rows for out in found) == 0 and calls[0] < 40 * 1500
+
+
+def test_p3_reads_members_of_both_sides_once(spark):
+    rng = random.Random(16)
+    texts = [prose(rng, 30) for _ in range(20)]
+    df = spark.createDataFrame([(f"{s}{i}", s, t) for s in ("test", "exemplar_bank") for i, t in enumerate(texts)], "id string, split string, text string")
+    pairs = split_overlap.split_overlap(df, F.col("id"), F.col("text"), F.col("split"), other=["exemplar_bank"], examined=["test"])
+    assert {tuple(r)[:2] for r in pairs.collect()} == {(f"test{i}", f"exemplar_bank{i}") for i in range(20)}
+    final = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("MapInArrow") == 3 and "ReusedExchange" in final
+
+
 def test_p4_named_fields():
     same = ['{"b": "X-1", "a": 2}', "a=2; b = x1", "B: X 1\n\nA : 2", ' {\n "a" : "2", "b":"x1"}']
     keys = {copy_ledger.canonical_keys(t)[1] for t in same}
