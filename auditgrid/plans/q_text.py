@@ -189,8 +189,7 @@ def encoder_round_trip(spark, d):
     """Each encoder over all texts, and for how many the normalizer reports its tag."""
     # each text once, in more tasks than its bytes suggest
     texts = _texts(spark, d).where("text is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "text").groupBy("text").agg(F.count("*").alias("records"))
-    trips = texts.select("records", F.explode(N.round_trips(F.col("text"))).alias("t"))
-    return trips.groupBy("t.encoder").agg(F.sum("records").alias("rows"), F.sum(F.when(F.col("t.tagged"), F.col("records")).otherwise(0)).alias("tagged"))
+    return N.round_trips(texts).groupBy("encoder").agg(F.sum("rows").alias("rows"), F.sum("tagged").alias("tagged"))
 
 
 # hygiene of the corpus

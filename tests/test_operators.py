@@ -350,7 +350,7 @@ def test_encoder_round_trip_counts_each_text_once(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == want
     # texts are grouped before the slow function sees them
     plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "Aggregate [text" in plan[plan.index("ArrowEvalPython") :]
+    assert "Aggregate [text" in plan[plan.index("MapInArrow") :]
 
 
 def test_second_reports_equals_all_steps_and_leaves_out_later_ones(monkeypatch):
